@@ -321,4 +321,114 @@ def sql() -> dict[str, str]:
     q["top_performers"] = with_ctes(*ALL_ENRICH, body=(
         "SELECT outlet_id, outlet, city, total_revenue, unique_customers, outlet_score, performance_score "
         "FROM e_outlet ORDER BY performance_score DESC, outlet_id LIMIT 5"))
+    q.update(_intent_sql())
     return q
+
+
+# ---------------------------------------------------------------- questions and intents
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def question_cte() -> str:
+    from storeline.sources.questions import CONV_FACTOR, TEMPLATE_BASE, TEMPLATES
+    values = ", ".join(f"({i}, {_sql_str(t)})" for i, t in enumerate(TEMPLATES))
+    return f"""
+qs AS (
+  SELECT CAST(conv_id * {CONV_FACTOR} + turn AS BIGINT) AS q_id, text AS question
+  FROM conversations WHERE role = 'user'
+  UNION ALL
+  SELECT CAST({TEMPLATE_BASE} + s_suppkey * 100 + tp.i AS BIGINT) AS q_id,
+         replace(replace(tp.tpl, '{{outlet}}', COALESCE(s_name, '')), '{{city}}', COALESCE(n_name, '')) AS question
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey, (VALUES {values}) tp(i, tpl))
+"""
+
+
+def _words(ws) -> str:
+    return r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(ws) + r")(?:[^\p{L}\p{N}_]|$)"
+
+
+def _any(col: str, ws) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_sql_str(w)})" for w in ws) + ")"
+
+
+def intents_ctes() -> str:
+    from storeline.operators import intents as I
+    rx = lambda ws: f"regexp_matches(q, {_sql_str(_words(ws))})"
+    loc = f"({rx(I.LOCATION_WORDS)} OR contains(q, 'where'))"
+    cmp_ = rx(I.COMPARISON_WORDS)
+    cnt = rx(I.COUNT_WORDS)
+    agg = rx(I.AGGREGATE_WORDS)
+    rank = rx(I.RANKING_WORDS)
+    ana = rx(I.ANALYTICAL_WORDS)
+    lst = rx(I.LIST_WORDS)
+    det = _any("q", I.DETAIL_SUBSTRINGS)
+    outl = rx(I.ENTITY_OUTLET_WORDS)
+    rank_n = _sql_str(r"(?:^|[^\p{L}\p{N}_])(?:top|best|worst|bottom)\s+([0-9]+)(?:[^\p{L}\p{N}_]|$)")
+    one = _sql_str(r"(?:^|[^\p{L}\p{N}_])(?:best|worst|top|highest|lowest)(?:$|[^\p{L}\p{N}_\s]|\s+(?:$|[^\s0-9]))")
+    price = _sql_str(r"between\s+₹?([0-9]+)(?:\s*-\s*|\s+and\s+)₹?([0-9]+)")
+    rating = _sql_str(r"(?:rating|score)(?:\s+)?(?:above|over|greater than)\s+([0-9]+(?:\.[0-9]+)?)")
+    comp = _sql_str(r"(?i)(?:compare|vs|versus|between)\s+(.+?)\s+(?:and|vs|versus|with|,)\s+(.+?)(?:\?|\n?\z|by)")
+    quoted = _sql_str(r"[\"']([^\"']+)[\"']")
+    metrics = ", ".join(f"CASE WHEN {_any('q', kws)} THEN {_sql_str(m)} END" for m, kws in I.METRIC_VOCAB.items())
+    qwords = ", ".join(f"CASE WHEN {_any('q', kws)} THEN {_sql_str(w)} END" for w, kws in I.QUESTION_WORDS.items())
+    cats = " ".join(f"WHEN contains(q, {_sql_str(c)}) THEN {_sql_str(I.CATEGORY_TITLES[c])}" for c in I.CATEGORIES)
+    strip = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"""
+ql AS (SELECT q_id, COALESCE(question, '') AS question,
+              {strip.format(x="lower(COALESCE(question, ''))")} AS q FROM qs),
+d_city AS (SELECT DISTINCT lower(city) AS k FROM e_outlet WHERE city IS NOT NULL AND lower(city) <> 'unknown'),
+d_outlet AS (SELECT lower(outlet) AS k, MIN(outlet) AS v FROM e_outlet WHERE outlet IS NOT NULL AND outlet <> ''
+             GROUP BY lower(outlet)),
+q_city AS (SELECT q_id, k AS city_match FROM (
+    SELECT ql.q_id, d.k, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY length(d.k) DESC, d.k) AS rn
+    FROM ql JOIN d_city d ON contains(ql.q, d.k) WHERE d.k <> '') WHERE rn = 1),
+q_outlet AS (SELECT q_id, v AS outlet_match FROM (
+    SELECT ql.q_id, d.v, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY length(d.k) DESC, d.k) AS rn
+    FROM ql JOIN d_outlet d ON contains(ql.q, d.k) WHERE d.k <> '') WHERE rn = 1),
+qf AS (
+  SELECT ql.*, c.city_match, o.outlet_match,
+         {loc} AS is_loc, {cmp_} AS is_cmp, {cnt} AS is_cnt, {agg} AS is_agg, {rank} AS is_rank,
+         {ana} AS is_ana, {lst} AS is_list, {det} AS is_det, {outl} AS is_outlet_word,
+         regexp_extract(q, {rank_n}, 1) AS rank_txt, regexp_matches(q, {one}) AS rank_one,
+         regexp_extract(q, {price}, 1) AS pmin, regexp_extract(q, {price}, 2) AS pmax,
+         regexp_extract(q, {rating}, 1) AS rmin,
+         regexp_extract(ql.question, {comp}, 1) AS ca, regexp_extract(ql.question, {comp}, 2) AS cb,
+         regexp_extract_all(ql.question, {quoted}, 1) AS quoted
+  FROM ql LEFT JOIN q_city c ON ql.q_id = c.q_id LEFT JOIN q_outlet o ON ql.q_id = o.q_id),
+intents AS (
+  SELECT q_id,
+    CASE WHEN is_loc THEN 'location' WHEN is_cmp THEN 'comparison' WHEN is_cnt THEN 'aggregate'
+         WHEN is_agg THEN 'aggregate' WHEN is_rank THEN 'ranking' WHEN is_ana THEN 'analytical'
+         WHEN is_list THEN 'list' WHEN is_det THEN 'detail' ELSE 'simple_fact' END AS query_type,
+    CASE WHEN is_loc OR is_outlet_word THEN 'outlet' ELSE 'product' END AS entity,
+    concat_ws(',', {metrics}) AS metrics,
+    city_match AS filter_city,
+    CASE {cats} END AS filter_category,
+    CASE WHEN pmin <> '' THEN TRY_CAST(pmin AS BIGINT) END AS price_min,
+    CASE WHEN pmax <> '' THEN TRY_CAST(pmax AS BIGINT) END AS price_max,
+    CASE WHEN rmin <> '' THEN TRY_CAST(rmin AS DOUBLE) END AS rating_min,
+    CASE WHEN NOT (is_loc OR is_cmp OR is_cnt OR is_agg) AND is_rank THEN
+      CASE WHEN {rx(I.MAX_WORDS)} THEN 'max' WHEN {rx(I.MIN_WORDS)} THEN 'min' END END AS superlative,
+    array_to_string(list_concat(
+      CASE WHEN is_cmp AND NOT is_loc AND ca <> ''
+           THEN [{strip.format(x="ca")}, {strip.format(x="cb")}] ELSE []::VARCHAR[] END,
+      CASE WHEN (is_loc OR is_outlet_word) AND outlet_match IS NOT NULL THEN [outlet_match] ELSE []::VARCHAR[] END,
+      CASE WHEN is_loc OR is_outlet_word THEN quoted ELSE []::VARCHAR[] END), ' | ') AS comparison_entities,
+    CASE WHEN is_loc OR is_cmp THEN NULL WHEN is_cnt THEN 'count'
+         WHEN is_agg THEN CASE WHEN contains(q, 'total') OR contains(q, 'sum') THEN 'total'
+                               WHEN contains(q, 'average') OR contains(q, 'mean') THEN 'average'
+                               WHEN contains(q, 'median') THEN 'median' END END AS aggregate_type,
+    CASE WHEN NOT (is_loc OR is_cmp OR is_cnt OR is_agg) AND is_rank THEN
+      CASE WHEN rank_txt <> '' THEN TRY_CAST(rank_txt AS BIGINT) WHEN rank_one THEN 1 ELSE 5 END END AS ranking_n,
+    (NOT (is_loc OR is_cmp OR is_cnt OR is_agg OR is_rank) AND is_ana) AS needs_calculation,
+    concat_ws(',', {qwords}) AS question_words,
+    q AS raw_question
+  FROM qf)
+"""
+
+
+def _intent_sql() -> dict[str, str]:
+    blocks = (*ALL_ENRICH, question_cte(), intents_ctes())
+    return {"intents": with_ctes(*blocks, body="SELECT * FROM intents")}

@@ -71,3 +71,18 @@ QUERIES: dict[str, Query] = {
 }
 
 FLAGSHIP = "top_performers"
+
+
+def intents_table(spark: SparkSession, sf: str) -> DataFrame:
+    from storeline.operators import intents
+    from storeline.sources.questions import questions
+    eo = enrich_outlet(spark, sf)
+    return intents.parse(questions(spark, sf), eo)
+
+
+def intents_flat(spark: SparkSession, sf: str) -> DataFrame:
+    from storeline.operators import intents
+    return intents.flat(intents_table(spark, sf))
+
+
+QUERIES["intents"] = intents_flat

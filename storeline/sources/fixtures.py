@@ -118,14 +118,42 @@ def employment(t: Tables) -> DataFrame:
         F.when(bal < 0, F.lit(None)).otherwise(bal / 2000).cast("decimal(18,6)").alias("performance_rating"))
 
 
-def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All model tables; the ones the test data cannot fill are empty."""
-    t = Tables(spark, sf_dir)
-    empty = spark.createDataFrame([], "x string")
-    return {
-        "outlet": outlet(t), "menu": menu(t), "outlet_menu": outlet_menu(t), "order": order(t),
-        "daily_sales": daily_sales(t), "review": review(t), "food_quality": food_quality(t),
-        "transportation": transportation(t), "promotion": promotion(t), "employment": employment(t),
-        "customer": t.customer, "emp_position": empty, "purchase_15": empty,
-        "purchase_month": empty, "purchase_week": empty,
-    }
+BUILDERS = {
+    "outlet": outlet, "menu": menu, "outlet_menu": outlet_menu, "order": order, "daily_sales": daily_sales,
+    "review": review, "food_quality": food_quality, "transportation": transportation,
+    "promotion": promotion, "employment": employment, "customer": lambda t: t.customer,
+}
+UNFILLED = ("emp_position", "purchase_15", "purchase_month", "purchase_week")
+
+
+class ModelTables(dict):
+    """The model tables, each derived on first use (the ones the data cannot fill are empty)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._t = Tables(spark, sf_dir)
+        self.spark = spark
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in BUILDERS:
+            df = BUILDERS[name](self._t)
+        elif name in UNFILLED:
+            df = self.spark.createDataFrame([], "x string")
+        else:
+            raise KeyError(name)
+        self[name] = df
+        return df
+
+    def get(self, name: str, default=None):
+        try:
+            return self[name]
+        except KeyError:
+            return default
+
+    def names(self) -> list[str]:
+        return list(BUILDERS) + list(UNFILLED)
+
+
+def model_tables(spark: SparkSession, sf_dir: str) -> ModelTables:
+    """All model tables of one folder (lazily derived)."""
+    return ModelTables(spark, sf_dir)
