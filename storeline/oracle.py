@@ -322,6 +322,7 @@ def sql() -> dict[str, str]:
         "SELECT outlet_id, outlet, city, total_revenue, unique_customers, outlet_score, performance_score "
         "FROM e_outlet ORDER BY performance_score DESC, outlet_id LIMIT 5"))
     q.update(_intent_sql())
+    q.update(_doc_sql())
     return q
 
 
@@ -432,3 +433,26 @@ intents AS (
 def _intent_sql() -> dict[str, str]:
     blocks = (*ALL_ENRICH, question_cte(), intents_ctes())
     return {"intents": with_ctes(*blocks, body="SELECT * FROM intents")}
+
+
+def _doc_sql() -> dict[str, str]:
+    def part(c):
+        return f"'{c}: ' || COALESCE(CAST({c} AS VARCHAR), 'nan')"
+    from storeline.operators.retrieval import OUTLET_DOC_COLUMNS, PRODUCT_DOC_COLUMNS
+    o = " || ' | ' || ".join(part(c) for c in OUTLET_DOC_COLUMNS)
+    p = " || ' | ' || ".join(part(c) for c in PRODUCT_DOC_COLUMNS)
+    docs = with_ctes(*ALL_MASTER, body=(
+        f"SELECT 'master_outlet:' || outlet_id AS id, 'master_outlet' AS source, outlet_id AS pk, {o} AS text "
+        f"FROM master_outlet UNION ALL "
+        f"SELECT 'master_product:' || product_id AS id, 'master_product' AS source, product_id AS pk, {p} AS text "
+        f"FROM master_product"))
+    topk = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 OR isnan(n) THEN 1.0 ELSE n END) AS e FROM v),
+s AS (SELECT a.vec_id AS q_id, CAST(b.vec_id AS VARCHAR) AS id, list_dot_product(a.e, b.e) AS sc FROM u a, u b)
+SELECT q_id, id, CAST(rank AS INTEGER) AS rank, ROUND(sc, 6) AS score FROM (
+  SELECT q_id, id, sc, ROW_NUMBER() OVER (PARTITION BY q_id ORDER BY sc DESC, id) AS rank FROM s) WHERE rank <= 5
+"""
+    return {"documents": docs, "retrieve_topk": topk}

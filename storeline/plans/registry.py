@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storeline.operators import enrich, facts, masters
 from storeline.sources.fixtures import model_tables
@@ -86,3 +87,35 @@ def intents_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["intents"] = intents_flat
+
+
+def masters_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    t = model_tables(spark, sf)
+    return masters.master_outlet(t), masters.master_product(t)
+
+
+def documents_table(spark: SparkSession, sf: str) -> DataFrame:
+    from storeline.operators import retrieval
+    mo, mp = masters_pair(spark, sf)
+    return retrieval.documents(mo, mp).select("id", "source", "pk", "text")
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    from storeline.operators import retrieval
+    mo, mp = masters_pair(spark, sf)
+    return retrieval.embed_text(retrieval.documents(mo, mp), "text").select("id", "source", "pk", "embedding")
+
+
+def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact cosine top-5 of every vector of ``embeddings`` among all of them."""
+    from storeline.operators import retrieval
+    from storeline.sources.testdata import read_table
+    e = read_table(spark, sf, "embeddings")
+    return retrieval.cosine_topk(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v")),
+                                 e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v")),
+                                 k=5)
+
+
+QUERIES["documents"] = documents_table
+QUERIES["embed_documents"] = embed_documents
+QUERIES["retrieve_topk"] = retrieve_topk
