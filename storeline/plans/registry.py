@@ -119,3 +119,14 @@ def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["documents"] = documents_table
 QUERIES["embed_documents"] = embed_documents
 QUERIES["retrieve_topk"] = retrieve_topk
+
+
+def answers_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: the whole question pipeline over the derived question table."""
+    from storeline.plans import answers
+    from storeline.sources.questions import questions
+    m = answers.build_masters(model_tables(spark, sf))
+    return answers.answers(questions(spark, sf), m)
+
+
+QUERIES["answers"] = answers_table
