@@ -323,6 +323,7 @@ def sql() -> dict[str, str]:
         "FROM e_outlet ORDER BY performance_score DESC, outlet_id LIMIT 5"))
     q.update(_intent_sql())
     q.update(_doc_sql())
+    q.update(_misc_sql())
     return q
 
 
@@ -456,3 +457,94 @@ SELECT q_id, id, CAST(rank AS INTEGER) AS rank, ROUND(sc, 6) AS score FROM (
   SELECT q_id, id, sc, ROW_NUMBER() OVER (PARTITION BY q_id ORDER BY sc DESC, id) AS rank FROM s) WHERE rank <= 5
 """
     return {"documents": docs, "retrieve_topk": topk}
+
+
+def _misc_sql() -> dict[str, str]:
+    from storeline.operators.masters import OUTLET_FLAG_COLUMNS
+    q: dict[str, str] = {}
+    q["extract_answer"] = r"""
+SELECT conv_id, turn,
+       CASE WHEN turn % 4 = 3 THEN text ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS answer
+FROM conversations WHERE role = 'assistant'"""
+    q["chat_messages"] = """
+SELECT conv_id, COUNT(*) AS n_messages, string_agg(COALESCE(role, 'user'), ',' ORDER BY turn) AS roles,
+       CAST(SUM(length(COALESCE(text, ''))) AS BIGINT) AS content_chars
+FROM conversations GROUP BY conv_id"""
+    q["best_outlet"] = with_ctes(*ALL_ENRICH, body="""
+SELECT b.outlet, b.city, b.score, b.revenue,
+       CASE WHEN b.outlet IS NOT NULL OR b.found THEN 'Highest weighted performance (40% revenue + 30% customers + 30% score)' END AS why,
+       CASE WHEN NOT COALESCE(b.found, FALSE) THEN 'No outlets found for filters.' END AS error
+FROM (SELECT 1 AS one) x LEFT JOIN (
+  SELECT outlet, city, performance_score AS score, total_revenue AS revenue, TRUE AS found
+  FROM e_outlet ORDER BY performance_score DESC, outlet_id LIMIT 1) b ON TRUE""")
+    q["best_product"] = with_ctes(*ALL_ENRICH, body="""
+SELECT b.product, b.category, b.score, b.revenue,
+       CASE WHEN b.found THEN 'Highest weighted performance (40% revenue + 30% units + 30% score)' END AS why,
+       CASE WHEN NOT COALESCE(b.found, FALSE) THEN 'No products found for filters.' END AS error
+FROM (SELECT 1 AS one) x LEFT JOIN (
+  SELECT product_name AS product, category, performance_score AS score, revenue_total AS revenue, TRUE AS found
+  FROM e_product WHERE regexp_matches(category, '(?i)promo')
+  ORDER BY performance_score DESC, product_id LIMIT 1) b ON TRUE""")
+    flags = ", ".join(f"({c} IS NOT NULL AND {c} <> 0) AS {c}_available" for c in OUTLET_FLAG_COLUMNS)
+    q["availability_flags"] = with_ctes(*ALL_MASTER, body=f"SELECT outlet_id, {flags} FROM master_outlet")
+    q["minmax_normalize"] = with_ctes(*ALL_MASTER, body="""
+SELECT outlet_id,
+  CASE WHEN r1 = r0 THEN 0.0 ELSE (total_revenue - r0) / (r1 - r0) END AS norm_revenue,
+  CASE WHEN q1 = q0 THEN 0.0 ELSE (avg_quality_score - q0) / (q1 - q0) END AS norm_quality,
+  CASE WHEN e1 = e0 THEN 0.0 ELSE (avg_employee_rating - e0) / (e1 - e0) END AS norm_employee,
+  CASE WHEN s1 = s0 THEN 0.0 ELSE (avg_sentiment_signal - s0) / (s1 - s0) END AS norm_sentiment,
+  CASE WHEN c1 = c0 THEN 0.0 ELSE (CAST(unique_customers AS DOUBLE) - c0) / (c1 - c0) END AS norm_customers,
+  outlet_score
+FROM master_outlet, s_outlet""")
+    q["profile_tables"] = _profile_sql()
+    return q
+
+
+# (logical table, CTE, [(column, numeric?)]) in the column order the Spark model tables have
+PROFILE_LAYOUT = [
+    ("outlet", "m_outlet", [("outlet_id", 0), ("outlet", 0), ("city", 0)]),
+    ("menu", "m_menu", [("product_id", 0), ("product_name", 0), ("category", 0), ("price", 1), ("product_cost", 1)]),
+    ("outlet_menu", "m_bridge", [("outlet_menu_id", 0), ("outlet_id", 0), ("product_id", 0)]),
+    ("order", "p_order", [("outlet_menu_id", 0), ("customer_id", 0), ("quantity", 1), ("unit_price", 1), ("date", 0)]),
+    ("daily_sales", "p_daily", [("outlet_product_id", 0), ("date", 0), ("sales", 1)]),
+    ("review", "p_review", [("outlet_menu_id", 0), ("review_id", 0), ("positive_score", 1), ("negative_score", 1),
+                            ("neutral_score", 1)]),
+    ("food_quality", "m_quality", [("outlet_menu_id", 0), ("total_stage", 1), ("quality_status", 0)]),
+    ("transportation", "m_transport", [("outlet_menu_id", 0), ("transportation_cost", 1)]),
+    ("promotion", "m_promotion", [("outlet_id", 0), ("cost", 1), ("sources", 0), ("products", 1)]),
+    ("employment", "m_employment", [("outlet_id", 0), ("position_id", 0), ("performance_rating", 1)]),
+]
+
+PROFILE_EXTRA_CTES = r"""
+p_order AS (
+  SELECT CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS outlet_menu_id,
+         CAST(o_custkey AS VARCHAR) AS customer_id,
+         CAST(l_quantity AS DECIMAL(18,2)) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price,
+         CAST(l_shipdate AS DATE) AS date
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
+p_daily AS (SELECT outlet_product_id, d AS date, sales FROM m_daily),
+p_review AS (
+  SELECT CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS outlet_menu_id,
+         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS review_id,
+         CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS positive_score,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS negative_score,
+         CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS neutral_score
+  FROM lineitem WHERE l_linenumber <= 2)
+"""
+
+
+def _profile_sql() -> str:
+    parts = []
+    for table, cte, cols in PROFILE_LAYOUT:
+        for pos, (c, numeric) in enumerate(cols):
+            zero = f"SUM(CASE WHEN {c} = 0 THEN 1 ELSE 0 END)" if numeric else "0"
+            parts.append(f"""
+SELECT '{table}' AS "table", '{c}' AS "column", {pos} AS position, COUNT(*) AS rows,
+       CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+       CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / GREATEST(COUNT(*), 1) AS pct_missing,
+       CAST({zero} AS BIGINT) AS n_zeros,
+       CAST({zero} AS DOUBLE) / GREATEST(COUNT(*), 1) AS pct_zeros,
+       (SELECT COALESCE(string_agg(v, ', ' ORDER BY v), '') FROM (
+          SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {cte} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples
+FROM {cte}""")
+    return with_ctes(MODEL_CTES, PROFILE_EXTRA_CTES, body=" UNION ALL ".join(parts))

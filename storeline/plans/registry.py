@@ -130,3 +130,83 @@ def answers_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["answers"] = answers_table
+
+
+def extract_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """C11 over assistant turns, wrapped in the response shapes a chat service returns."""
+    from storeline.operators.responses import extract_answer as extract
+    from storeline.sources.testdata import read_table
+    c = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    shape = F.pmod(F.col("turn"), F.lit(4))
+    resp = (F.when(shape == 0, F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content"))
+                                                                    .alias("message"))).alias("choices"))))
+            .when(shape == 1, F.to_json(F.struct(F.col("text").alias("content"))))
+            .when(shape == 2, F.to_json(F.struct(F.col("text").alias("text"))))
+            .otherwise(F.col("text")))
+    return c.select("conv_id", "turn", extract(resp).alias("answer"))
+
+
+def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered messages per conversation (flattened for checking)."""
+    from storeline.operators.responses import chat_messages as msgs
+    from storeline.sources.testdata import read_table
+    m = msgs(read_table(spark, sf, "conversations"))
+    return m.select("conv_id", F.size("messages").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+                    F.aggregate("messages", F.lit(0).cast("bigint"),
+                                lambda acc, x: acc + F.length(x["content"])).alias("content_chars"))
+
+
+PROFILED = ["outlet", "menu", "outlet_menu", "order", "daily_sales", "review", "food_quality", "transportation",
+            "promotion", "employment"]
+
+
+def profile_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Column profile of the model tables."""
+    from storeline.operators import profile
+    p = profile.profile_tables(model_tables(spark, sf), PROFILED)
+    return p.select("table", "column", "position", "rows", "n_missing", "pct_missing", "n_zeros", "pct_zeros",
+                    F.array_join("examples", ", ").alias("examples"))
+
+
+def best_outlet(spark: SparkSession, sf: str) -> DataFrame:
+    return enrich.best_outlet(enrich_outlet(spark, sf))
+
+
+def best_product(spark: SparkSession, sf: str) -> DataFrame:
+    eo, ep = enriched(spark, sf)
+    return enrich.best_product(ep, "promo")
+
+
+def availability_flags(spark: SparkSession, sf: str) -> DataFrame:
+    mo = master_outlet(spark, sf)
+    return masters.availability_flags(mo, masters.OUTLET_FLAG_COLUMNS).select(
+        "outlet_id", *[f"{c}_available" for c in masters.OUTLET_FLAG_COLUMNS])
+
+
+def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    mo = masters.master_outlet(model_tables(spark, sf), keep_components=True)
+    return mo.select("outlet_id", *masters.OUTLET_WEIGHTS, "outlet_score")
+
+
+def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
+    """H0-H8: the evidence rows of every question (rows-only check)."""
+    from storeline.operators import intents, retrieval, select
+    from storeline.plans import answers
+    from storeline.sources.questions import questions
+    m = answers.build_masters(model_tables(spark, sf))
+    qs = questions(spark, sf)
+    it = intents.parse(qs, m["eo"])
+    docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text")
+    need = qs.join(it.where(F.col("query_type").isin(*answers.RETRIEVAL_TYPES)).select("q_id"), "q_id")
+    hits = retrieval.retrieve_for_questions(need, docs)
+    ev, _, _ = select.evidence(it, m["eo"], m["ep"], hits, persist=True)
+    return ev.select("q_id", "pos", "kind", "tbl", "pk")
+
+
+QUERIES.update({
+    "extract_answer": extract_answer, "chat_messages": chat_messages, "profile_tables": profile_tables,
+    "best_outlet": best_outlet, "best_product": best_product, "availability_flags": availability_flags,
+    "minmax_normalize": minmax_normalize, "evidence": evidence_table,
+})
+FLAGSHIP = "answers"
