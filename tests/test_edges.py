@@ -12,7 +12,8 @@ from storeline.operators import enrich, facts, masters, responses, select
 
 def _tables(spark, **kw):
     base = {
-        "outlet": spark.createDataFrame([("1", "A", "x"), ("2", "B", "y")], "outlet_id string, outlet string, city string"),
+        "outlet": spark.createDataFrame([("1", "A", "surat"), ("2", "B", "pune")],
+                                        "outlet_id string, outlet string, city string"),
         "menu": spark.createDataFrame([("10", "pizza", "food", "100", "40")],
                                       "product_id string, product_name string, category string, price string, product_cost string"),
         "outlet_menu": spark.createDataFrame([("m1", "1", "10"), ("m2", "2", "10")],
@@ -94,18 +95,19 @@ def test_reviews_count_and_as_published(spark):
 
 def test_no_match_filter_falls_back(spark):
     from storeline.operators import intents
+    from storeline.session import cut_lineage
     t = _tables(spark)
-    mo = masters.master_outlet(t)
-    eo = enrich.enrich_outlet(mo)
-    ep = enrich.enrich_product(masters.master_product(t), mo)
-    it = spark.createDataFrame([(1, "show every store in x"), (2, "show every store in nowhere")],
+    mo = cut_lineage(masters.master_outlet(t))
+    eo = cut_lineage(enrich.enrich_outlet(mo))
+    ep = cut_lineage(enrich.enrich_product(masters.master_product(t), mo))
+    it = spark.createDataFrame([(1, "show every store in Surat"), (2, "show every store in nowhere")],
                                "q_id long, question string")
     ints = intents.parse(it, eo)
     ev, q, members = select.evidence(ints, eo, ep)
     rows = {}
     for r in ev.collect():
         rows.setdefault(r.q_id, []).append(r.pk)
-    assert sorted(rows[1]) == ["1"]           # city x selects outlet 1 only
+    assert sorted(rows[1]) == ["1"]           # city surat selects outlet 1 only
     assert sorted(rows[2]) == ["1", "2"]      # no city matched: every outlet comes back
 
 
@@ -137,12 +139,17 @@ def test_vectors_topk_against_brute_force(spark):
     for r in cosine_topk(q, d, k=5, query_block=4, doc_block=16).collect():
         got.setdefault(r.q_id, []).append((r.rank, r.id, r.score))
 
-    def unit(m):
-        m = np.nan_to_num(m, nan=0.0)
+    def unit_docs(m):
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        n[n == 0] = 1.0
+        return np.nan_to_num(m / n, nan=0.0, posinf=0.0, neginf=0.0)
+
+    def unit_queries(m):
+        m = np.nan_to_num(m, nan=0.0, posinf=0.0, neginf=0.0)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         n[n == 0] = 1.0
         return m / n
-    s = unit(qs) @ unit(docs).T
+    s = unit_queries(qs) @ unit_docs(docs).T
     for qi in range(len(qs)):
         order = sorted(range(len(docs)), key=lambda j: (-s[qi, j], str(j)))[:5]
         assert [x[1] for x in sorted(got[qi])] == [str(j) for j in order]
