@@ -324,6 +324,7 @@ def sql() -> dict[str, str]:
     q.update(_intent_sql())
     q.update(_doc_sql())
     q.update(_misc_sql())
+    q.update(_selection_sql())
     return q
 
 
@@ -548,3 +549,64 @@ SELECT '{table}' AS "table", '{c}' AS "column", {pos} AS position, COUNT(*) AS r
           SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {cte} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples
 FROM {cte}""")
     return with_ctes(MODEL_CTES, PROFILE_EXTRA_CTES, body=" UNION ALL ".join(parts))
+
+
+SELECTION_CTES = r"""
+fq AS (
+  SELECT i.q_id, i.query_type, i.metrics, i.ranking_n, i.superlative,
+         CASE WHEN i.query_type = 'location' OR i.entity = 'outlet' THEN 'outlet' ELSE 'product' END AS tbl,
+         lower(i.filter_city) AS f_city, lower(i.filter_category) AS f_cat,
+         CASE WHEN i.price_min <> 0 THEN CAST(i.price_min AS DOUBLE) END AS pmin,
+         CASE WHEN i.price_max <> 0 THEN CAST(i.price_max AS DOUBLE) END AS pmax,
+         CASE WHEN i.rating_min <> 0 THEN i.rating_min END AS rmin
+  FROM intents i),
+rows_all AS (
+  SELECT 'outlet' AS tbl, outlet_id AS pk, lower(city) AS city_l, CAST(NULL AS VARCHAR) AS cat_l,
+         CAST(NULL AS DOUBLE) AS price, total_revenue AS revenue, total_units_sold AS units,
+         avg_quality_score AS rating, CAST(unique_customers AS DOUBLE) AS customers, performance_score AS perf
+  FROM e_outlet
+  UNION ALL
+  SELECT 'product', product_id, NULL, lower(category), price, revenue_total, units_sold_total,
+         avg_quality_score, NULL, performance_score
+  FROM e_product),
+pairs AS (
+  SELECT fq.q_id, r.pk
+  FROM fq JOIN rows_all r ON r.tbl = fq.tbl
+  WHERE (fq.tbl <> 'outlet' OR fq.f_city IS NULL OR r.city_l = fq.f_city)
+    AND (fq.tbl <> 'product' OR fq.f_cat IS NULL OR contains(r.cat_l, fq.f_cat))
+    AND (fq.tbl <> 'product' OR fq.pmin IS NULL OR r.price >= fq.pmin)
+    AND (fq.tbl <> 'product' OR fq.pmax IS NULL OR r.price <= fq.pmax)
+    AND (fq.rmin IS NULL OR r.rating >= fq.rmin)),
+sel AS (SELECT q_id, COUNT(*) AS n_sel FROM pairs GROUP BY q_id),
+eff AS (
+  SELECT fq.*, COALESCE(sel.n_sel, 0) > 0 AS filtered FROM fq LEFT JOIN sel ON fq.q_id = sel.q_id),
+eff_rows AS (
+  SELECT e.q_id, r.* FROM eff e JOIN pairs p ON e.q_id = p.q_id JOIN rows_all r ON r.tbl = e.tbl AND r.pk = p.pk
+  WHERE e.filtered
+  UNION ALL
+  SELECT e.q_id, r.* FROM eff e JOIN rows_all r ON r.tbl = e.tbl WHERE NOT e.filtered)
+"""
+
+
+def _selection_sql() -> dict[str, str]:
+    blocks = (*ALL_ENRICH, question_cte(), intents_ctes(), SELECTION_CTES)
+    q = {}
+    q["filter_or_all"] = with_ctes(*blocks, body="""
+SELECT e.q_id, e.tbl, COUNT(*) AS n_rows, e.filtered
+FROM eff e JOIN eff_rows r ON e.q_id = r.q_id GROUP BY e.q_id, e.tbl, e.filtered""")
+    q["handle_ranking"] = with_ctes(*blocks, body="""
+SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM (
+  SELECT r.q_id, r.tbl, r.pk,
+         ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY
+           (CASE WHEN COALESCE(e.superlative, '') = 'min' THEN 1 ELSE -1 END) *
+           (CASE WHEN contains(',' || e.metrics || ',', ',price,') AND e.tbl = 'product' THEN r.price
+                 WHEN contains(',' || e.metrics || ',', ',revenue,') THEN r.revenue
+                 WHEN contains(',' || e.metrics || ',', ',volume,') THEN r.units
+                 WHEN contains(',' || e.metrics || ',', ',rating,') THEN r.rating
+                 WHEN contains(',' || e.metrics || ',', ',customers,') AND e.tbl = 'outlet' THEN r.customers
+                 ELSE r.perf END) ASC NULLS LAST,
+           TRY_CAST(r.pk AS DOUBLE) ASC NULLS LAST, r.pk) AS pos,
+         CASE WHEN COALESCE(e.ranking_n, 0) = 0 THEN 5 ELSE e.ranking_n END AS n
+  FROM eff e JOIN eff_rows r ON e.q_id = r.q_id WHERE e.query_type = 'ranking')
+WHERE pos <= n""")
+    return q

@@ -210,3 +210,36 @@ QUERIES.update({
     "minmax_normalize": minmax_normalize, "evidence": evidence_table,
 })
 FLAGSHIP = "answers"
+
+
+def _selection_inputs(spark: SparkSession, sf: str):
+    from storeline.operators import intents
+    from storeline.plans import answers
+    from storeline.session import cut_lineage
+    from storeline.sources.questions import questions
+    m = answers.build_masters(model_tables(spark, sf))
+    it = cut_lineage(intents.parse(questions(spark, sf), m["eo"]), "intents")
+    return m, it
+
+
+def filter_or_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows each question's filters select, or the whole table when they select none."""
+    from storeline.operators import select
+    m, it = _selection_inputs(spark, sf)
+    q = select.signatures(it)
+    members = select.memberships(q, select.slim_masters(m["eo"], m["ep"]))
+    q = select.effective(q, members)
+    n = members.groupBy(F.col("sig").alias("esig")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return q.join(n, "esig").select("q_id", "tbl", "n_rows",
+                                   (F.coalesce(F.col("n_sel"), F.lit(0)) > 0).alias("filtered"))
+
+
+def handle_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """H4 / L1-L2: the ranked rows of every ranking question."""
+    from storeline.operators import select
+    m, it = _selection_inputs(spark, sf)
+    ev, _, _ = select.evidence(it.where(F.col("query_type") == "ranking"), m["eo"], m["ep"], None)
+    return ev.select("q_id", "pos", "tbl", "pk")
+
+
+QUERIES.update({"filter_or_all": filter_or_all, "handle_ranking": handle_ranking})
