@@ -77,7 +77,9 @@ FLAGSHIP = "top_performers"
 def intents_table(spark: SparkSession, sf: str) -> DataFrame:
     from storeline.operators import intents
     from storeline.sources.questions import questions
-    eo = enrich_outlet(spark, sf)
+    from storeline.session import cut_lineage
+    # the outlet master feeds two dictionaries: materialise it once instead of computing it twice
+    eo = cut_lineage(enrich_outlet(spark, sf), "enriched_outlet")
     return intents.parse(questions(spark, sf), eo)
 
 

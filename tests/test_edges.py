@@ -157,3 +157,23 @@ def test_vectors_topk_against_brute_force(spark):
     assert all(x[2] == 0.0 for x in got[0])     # zero query vector scores 0
     big = cosine_topk(q, d.limit(3), k=10).where("q_id = 1").count()
     assert big == 3                              # k larger than n -> n rows
+
+
+def test_topk_cells_meet_without_coalescing(spark):
+    """Query and document sides of a cell must land in the same partition at any partition count."""
+    from storeline.operators.retrieval import cosine_topk
+    old = (spark.conf.get("spark.sql.shuffle.partitions"),
+           spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(3)
+        d = spark.createDataFrame([(str(i), [float(x) for x in rng.normal(size=4)]) for i in range(50)],
+                                  "id string, v array<double>")
+        q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(20)],
+                                  "q_id long, v array<double>")
+        assert cosine_topk(q, d, k=3, query_block=7, doc_block=11).count() == 60
+        assert cosine_topk(q, d, k=3).count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
