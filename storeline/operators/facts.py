@@ -29,14 +29,24 @@ def _has(df: DataFrame | None, *cols: str) -> bool:
     return df is not None and all(c in df.columns for c in cols)
 
 
+_BRIDGE = "__bridge__"
+
+
 def bridge(tables: Tables) -> DataFrame | None:
-    """Bridge rows (outlet_menu_id, outlet_id, product_id) with canonical string keys."""
+    """Bridge rows (outlet_menu_id, outlet_id, product_id) with canonical string keys.
+
+    One DataFrame per table set: every fact joins the *same* plan, so Spark
+    plans its exchange once and re-uses it (ReusedExchange) for all facts."""
+    if _BRIDGE in tables:
+        return tables[_BRIDGE]
     om = tables.get("outlet_menu")
     if not _has(om, "outlet_menu_id"):
         return None
-    return om.select(canonical_id(om, "outlet_menu_id").alias("outlet_menu_id"),
-                     canonical_id(om, "outlet_id").alias("outlet_id"),
-                     canonical_id(om, "product_id").alias("product_id"))
+    b = om.select(canonical_id(om, "outlet_menu_id").alias("outlet_menu_id"),
+                  canonical_id(om, "outlet_id").alias("outlet_id"),
+                  canonical_id(om, "product_id").alias("product_id"))
+    tables[_BRIDGE] = b
+    return b
 
 
 def _to_entity(per_key: DataFrame, tables: Tables, key: str) -> DataFrame | None:
@@ -44,7 +54,7 @@ def _to_entity(per_key: DataFrame, tables: Tables, key: str) -> DataFrame | None
     b = bridge(tables)
     if b is None:
         return None
-    return per_key.join(b.select("outlet_menu_id", key).where(F.col(key).isNotNull()), "outlet_menu_id", "inner")
+    return per_key.join(b, "outlet_menu_id", "inner").where(F.col(key).isNotNull())
 
 
 def _mode_pick(counts: DataFrame, key: str, value: str, out: str) -> DataFrame:

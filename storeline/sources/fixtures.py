@@ -134,6 +134,9 @@ class ModelTables(dict):
         self._t = Tables(spark, sf_dir)
         self.spark = spark
 
+    def __contains__(self, name) -> bool:
+        return dict.__contains__(self, name)
+
     def __missing__(self, name: str) -> DataFrame:
         if name in BUILDERS:
             df = BUILDERS[name](self._t)
