@@ -28,6 +28,13 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
 
+def keyed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, body). A row is known by its id and a hash of its text, so rows that repeat an id with other
+    texts stay apart, and rows that are equal in both share every decision."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"),
+                       F.col(text_col).cast("binary").alias("body"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the bytes of ``column`` in each piece stay near ``max_bytes`` (one row at least)."""
     for batch in batches:
