@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import decontaminate, quality, simhash, token_count
+from storeline.llm import decontaminate, quality, simhash, substring_dedup, token_count
 from storeline.llm.common import read_table
 
 
@@ -53,6 +53,23 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return cut.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(p)),
+f AS (SELECT md5(g) AS g, min(doc_id) AS first FROM g GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, p + j AS p FROM g JOIN f ON md5(g.g) = f.g AND first < doc_id, unnest(range(0, 13)) AS t(j)),
+k AS (SELECT doc_id, list(p) AS gone FROM x GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda e, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words_per_shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,10 +83,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": OP3_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
