@@ -180,8 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     """Train on a bounded sample of the labelled rows that are not held out."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))))
+    # twice the rows wanted, as long texts fall out; so few rows that the documents need not be shuffled to meet them
+    first = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * max_rows)
     texts = id_and_bytes(docs).where(F.octet_length("body") <= max_bytes)
-    sample = (known.join(texts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "body").limit(max_rows)
+    sample = (texts.join(F.broadcast(first), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "body").limit(max_rows)
               .select("label", "body").collect())
     return train([bytes(r["body"]) for r in sample], [r["label"] for r in sample])
 
