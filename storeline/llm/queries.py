@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import decontaminate, quality, simhash, substring_dedup, token_count
+from storeline.llm import decontaminate, quality, sentencepiece_codec, simhash, substring_dedup, token_count
 from storeline.llm.common import read_table
 
 
@@ -16,6 +16,21 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and whether they decode to the text again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, piece_bpe_path), piece_bpe_path)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                        sha(F.array_join("pieces", ",")).alias("pieces_sha256"), sha(F.col("decoded")).alias("decoded_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def sha(text: F.Column) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -81,6 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_substring_dedup": op8_substring_dedup,
