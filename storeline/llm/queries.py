@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import decontaminate, quality, sentencepiece_codec, simhash, substring_dedup, token_count
+from storeline.llm import decontaminate, quality, sentencepiece_codec, simhash, substring_dedup, token_count, topk
 from storeline.llm.common import read_table
 
 
@@ -31,6 +31,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").where(topk.finite(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double"))).alias("vector"))
+    return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+OP2_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
 def sha(text: F.Column) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -97,6 +114,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_exact_topk": op2_exact_topk,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_substring_dedup": op8_substring_dedup,
@@ -105,6 +123,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_exact_topk": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
