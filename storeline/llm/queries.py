@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import chat, decontaminate, quality, sentencepiece_codec, simhash, substring_dedup, token_count, topk
+from storeline.llm import chat, decontaminate, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count, topk
 from storeline.llm.common import read_table
 
 
@@ -113,6 +113,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.ratios(secret_scan.samples(docs)))
+    base = [(k, F.col(k)) for k in secret_scan.KINDS]
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS),
+                        sha(secret_scan.listed(base)).alias("base_sha256"),
+                        secret_scan.listed([*base, ("random", F.col("random"))]).alias("spans"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"), window=13)
     return cut.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
@@ -146,6 +155,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_secret_scans": op6_secret_scans,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
