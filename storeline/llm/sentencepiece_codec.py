@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct units a worker remembers, characters indexed at a time (memory bounds; never change a result).
-REMEMBERED, INDEXED = 400_000, 1 << 20
+REMEMBERED, INDEXED = 300_000, 1 << 17
 UNITS = re.compile(" *[^ \n]+| +|\n").findall
 NO_MERGE = 1 << 40
 
@@ -362,7 +362,7 @@ def decode(rows: DataFrame, model_path: Callable[[], str] | str, ids_col: str =
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw = opened(_path(model_path), "bpe").model.raw
+        raw = opened(_path(model_path), "decode").model.raw
         for column in parts:
             out = []
             for ids in column:
