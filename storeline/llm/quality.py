@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,3 +199,13 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "score"])
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, net: ByteNet, least: float = ACCEPT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores ``least`` or more; no shuffle."""
+
+    @F.pandas_udf("double")
+    def scores(bodies: pd.Series) -> pd.Series:
+        return pd.Series([net.score(b) for b in bodies], dtype="float64")
+
+    return docs.where(scores(F.col(text_col).cast("binary")) >= least)

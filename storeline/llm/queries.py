@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import chat, decontaminate, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count, topk
+from storeline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count, topk
 from storeline.llm.common import read_table
 
 
@@ -122,6 +122,13 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.listed([*base, ("random", F.col("random"))]).alias("spans"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document, and the digest of the text that stays (null text: of empty text)."""
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+                      sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(read_table(spark, sf_dir, "documents"), window=13)
     return cut.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
@@ -156,6 +163,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_secret_scans": op6_secret_scans,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
