@@ -32,8 +32,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = 20
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}+"
 WORDS = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}+"
-#: Least ratio (nats a pair, and in sum) of a secret; pseudo-count of each pair; documents that samples come from at most.
-LEAST_MEAN, LEAST_SUM, SMOOTHING, SAMPLE_DOCS = 0.5, 12.0, 0.5, 20_000
+#: Least ratio (nats a pair, and in sum) of a secret; weight of the fall-back in each row; documents that samples come from at most.
+LEAST_MEAN, LEAST_SUM, SMOOTHING, SAMPLE_DOCS = 1.0, 20.0, 5.0, 20_000
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -104,10 +104,18 @@ def ratios(labelled: DataFrame) -> DataFrame:
     grid = spark.range(n * n).select(F.col("id").alias("cell"), F.concat(
         F.substring(F.lit(ALPHABET), F.floor(F.col("id") / n).cast("int") + 1, F.lit(1)),
         F.substring(F.lit(ALPHABET), (F.col("id") % n).cast("int") + 1, F.lit(1))).alias("pair"))
-    full = grid.join(counts, "pair", "left").select(
-        "cell", F.floor(F.col("cell") / n).alias("row"), (F.coalesce("r", F.lit(0)) + SMOOTHING).alias("r"), (F.coalesce("o", F.lit(0)) + SMOOTHING).alias("o"))
-    rows = full.groupBy("row").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
-    cells = full.join(rows, "row").select("cell", (F.log(F.col("r") / F.col("rs")) - F.log(F.col("o") / F.col("os"))).alias("x"))
+    full = grid.join(counts, "pair", "left").select("cell", F.floor(F.col("cell") / n).alias("row"), (F.col("cell") % n).alias("to"),
+                                                    *(F.coalesce(c, F.lit(0)).alias(c) for c in "ro"))
+    rows = full.groupBy("row").agg(F.sum("r").alias("row_r"), F.sum("o").alias("row_o"))
+    next_ = full.groupBy("to").agg(F.sum("r").alias("to_r"), F.sum("o").alias("to_o"))
+    sums = full.agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o"))
+
+    def chance(c: str) -> Column:
+        """Of the next character; pairs without evidence fall back on how common that character is."""
+        common = (F.col(f"to_{c}") + 1) / (F.col(f"all_{c}") + n)
+        return (F.col(c) + SMOOTHING * common) / (F.col(f"row_{c}") + SMOOTHING)
+
+    cells = full.join(rows, "row").join(next_, "to").join(sums).select("cell", (F.log(chance("r")) - F.log(chance("o"))).alias("x"))
     known = counts.agg(F.coalesce((F.sum("r") > 0) & (F.sum("o") > 0), F.lit(False)).alias("known"))
     table = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "x"))), lambda c: c["x"]).alias("ratio"))
     return table.join(known).select(F.when(F.col("known"), F.col("ratio")).otherwise(F.transform("ratio", lambda _: F.lit(0.0))).alias("ratio"))

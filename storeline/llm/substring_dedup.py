@@ -126,7 +126,8 @@ class FMIndex:
         rank = np.zeros(n, np.int64)
         for j in range(per):
             rank <<= bits
-            rank[:n - j] |= words[j:]
+            if j < n:
+                rank[:n - j] |= words[j:]
         h = per
         while True:
             order = np.argsort(rank, kind="stable")
@@ -137,7 +138,8 @@ class FMIndex:
             if h >= depth or dense[order[-1]] == n - 1:
                 break
             rank = (dense + 1) * (n + 2)
-            rank[:n - h] += dense[h:] + 1
+            if h < n:
+                rank[:n - h] += dense[h:] + 1
             h *= 2
         self.sa, self.n = order, n
         self.before = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=sigma))])
