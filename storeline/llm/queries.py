@@ -25,7 +25,7 @@ def piece_bpe_path() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and whether they decode to the text again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, piece_bpe_path), piece_bpe_path)
+    coded = sentencepiece_codec.round_trip(docs, piece_bpe_path)
     return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
                         sha(F.array_join("pieces", ",")).alias("pieces_sha256"), sha(F.col("decoded")).alias("decoded_sha256"),
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

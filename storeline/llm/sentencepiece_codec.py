@@ -25,9 +25,13 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from storeline.llm.common import slices
 
 SPACE = "▁"
 #: Distinct units a worker remembers, characters indexed at a time (memory bounds; never change a result).
@@ -248,6 +252,12 @@ class PieceModel:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
+    def decode(self, ids) -> str:
+        """Text of piece ids: the sign that encoding puts first is taken away, broken bytes become U+FFFD."""
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
     def run_bytes(self, k: int) -> bytes:
         return np.array(self.space_run(k), np.int32).tobytes()
 
@@ -362,13 +372,29 @@ def decode(rows: DataFrame, model_path: Callable[[], str] | str, ids_col: str =
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        raw = opened(_path(model_path), "decode").model.raw
+        model = opened(_path(model_path), "decode").model
         for column in parts:
-            out = []
-            for ids in column:
-                data = b"".join([raw[i] for i in ids]) if ids is not None else b""
-                text = data.decode("utf-8", "replace")
-                out.append(text[1:] if text.startswith(" ") else text)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([model.decode(ids if ids is not None else ()) for ids in column], dtype=object)
 
     return rows.withColumn(out_col, run(ids_col))
+
+
+def round_trip(docs: DataFrame, model_path: Callable[[], str] | str, kind: str = "bpe", text_col: str = "text",
+               out_col: str = "pieces", decoded_col: str = "decoded") -> DataFrame:
+    """decode(encode(docs)) in one pass: both columns from the same Python worker, a few MB of text at a time."""
+    names = docs.columns
+    body = f"c{names.index(text_col)}"
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = StructType([*plain.schema.fields, StructField("pieces", ArrayType(IntegerType())), StructField("decoded", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = opened(_path(model_path), kind)
+        for b in slices(batches, body, 2 << 20):
+            texts = [(x or b"").decode("utf-8", "replace") for x in b.column(body).cast(pa.binary()).to_pylist()]
+            pieces = encoder.encode(texts)
+            ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
+            decoded = pa.array([encoder.model.decode(p.tolist()) for p in pieces], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, decoded], names=[*b.schema.names, "pieces", "decoded"])
+
+    return plain.mapInArrow(run, schema).toDF(*names, out_col, decoded_col)
