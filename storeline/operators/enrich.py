@@ -25,8 +25,9 @@ EXACT = "decimal(38,4)"
 
 def standardize_strings(df: DataFrame, lower: tuple[str, ...], trim_only: tuple[str, ...] = ()) -> DataFrame:
     """Trim (and lower-case) the named text columns that exist."""
-    cols = {c: F.lower(F.trim(F.col(c))) for c in lower if c in df.columns}
-    cols.update({c: F.trim(F.col(c)) for c in trim_only if c in df.columns})
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")  # noqa: E731  all white space, not blanks only
+    cols = {c: F.lower(strip(c)) for c in lower if c in df.columns}
+    cols.update({c: strip(c) for c in trim_only if c in df.columns})
     return df.withColumns(cols)
 
 
@@ -55,7 +56,7 @@ def group_totals(df: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
     which partial sums are merged."""
     totals = df.groupBy(key).agg(*[F.sum(F.col(src).cast(EXACT)).cast("double").alias(out)
                                    for out, src in sums.items()])
-    return df.join(totals, key, "left")
+    return df.join(totals, key, "left").select(*df.columns, *sums)  # the join would move the key to the front
 
 
 def sample_std(c: Column) -> Column:
@@ -69,7 +70,7 @@ def enrich_outlet(mo: DataFrame) -> DataFrame:
                                                             F.col("outlet_score")))
     m = group_totals(m, "city", {"city_rev": "total_revenue", "city_customers": "unique_customers"})
     m = m.withColumn("city_customers", F.col("city_customers").cast("bigint"))
-    stats = m.agg(F.round(F.coalesce(sample_std(F.col("total_revenue")), F.lit(0.0)), 4).alias("rev_std"))
+    stats = m.agg(F.coalesce(sample_std(F.col("total_revenue")), F.lit(0.0)).alias("rev_std"))
     m = m.crossJoin(F.broadcast(stats))
     return m.withColumn("needs_improvement", F.col("outlet_score") < 0.5)
 
@@ -85,7 +86,7 @@ def enrich_product(mp: DataFrame, mo: DataFrame) -> DataFrame:
     sx, sy = F.stddev_samp(x), F.stddev_samp(y)
     # corr guarded: a constant column has no correlation (0), never a division error
     corr = F.when(sx * sy > 0, F.covar_samp(x, y) / (sx * sy)).otherwise(F.lit(0.0))
-    pstats = m.agg(F.round(corr, 6).alias("price_rating_corr"),
+    pstats = m.agg(corr.alias("price_rating_corr"),
                    F.sum(F.col("revenue_total").cast(EXACT)).alias("__rev"),
                    F.sum(F.col("units_sold_total").cast(EXACT)).alias("__units"))
     ostats = mo.agg(F.sum(F.coalesce(F.col("unique_customers"), F.lit(0))).alias("__cust"))

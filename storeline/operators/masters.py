@@ -83,7 +83,7 @@ def availability_flag(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if isinstance(dt, T.NumericType):
         return c.isNotNull() & ~F.isnan(c.cast("double")) & (c != 0)
-    return c.isNotNull() & (F.trim(c.cast("string")) != "")
+    return c.isNotNull() & F.regexp_like(c.cast("string"), F.lit(r"(?U)\S"))
 
 
 def availability_flags(df: DataFrame, names: list[str]) -> DataFrame:

@@ -23,7 +23,9 @@ def extract_answer(response: Column) -> Column:
     is not JSON, or JSON with none of these keys, is returned unchanged."""
     r = response.cast("string")
     is_json_like = F.startswith(F.ltrim(F.regexp_replace(r, r"^\s+", "")), F.lit("{"))
-    valid = F.get_json_object(r, "$").isNotNull()
+    # strict: the text in brackets has to be an array of one object, so neither quotes nor trailing text slip through
+    one = F.from_json(F.concat(F.lit("["), r, F.lit("]")), "array<struct<content:string>>", {"allowSingleQuotes": "false"})
+    valid = F.coalesce(F.size(one) == 1, F.lit(False)) & F.get_json_object(r, "$").isNotNull()
     choice = F.get_json_object(r, "$.choices[0].message.content")
     pick = (F.when(F.coalesce(choice, F.lit("")) != "", _strip(choice))
             .when(F.get_json_object(r, "$.content").isNotNull(), _strip(F.get_json_object(r, "$.content")))

@@ -37,16 +37,16 @@ m_review AS (
          CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS positive_score,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS negative_score,
          CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS neutral_score
-  FROM lineitem WHERE l_linenumber <= 2),
+  FROM lineitem),
 m_quality AS (
   SELECT CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS outlet_menu_id,
          CAST((CAST(0.10 AS DECIMAL(18,2)) - CAST(l_discount AS DECIMAL(18,2))) * 50 AS DECIMAL(18,4)) AS total_stage,
          l_linestatus AS quality_status
-  FROM lineitem WHERE l_linenumber = 1),
+  FROM lineitem),
 m_transport AS (
   SELECT CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS outlet_menu_id,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS transportation_cost
-  FROM lineitem WHERE l_linenumber = 7),
+  FROM lineitem),
 m_promotion AS (
   SELECT CAST(user_id % (SELECT n FROM n_outlets) AS VARCHAR) AS outlet_id,
          CAST(value AS DECIMAL(18,2)) AS cost, event_type AS sources,
@@ -381,14 +381,15 @@ def intents_ctes() -> str:
     return f"""
 ql AS (SELECT q_id, COALESCE(question, '') AS question,
               {strip.format(x="lower(COALESCE(question, ''))")} AS q FROM qs),
-d_city AS (SELECT DISTINCT lower(city) AS k FROM e_outlet WHERE city IS NOT NULL AND lower(city) <> 'unknown'),
-d_outlet AS (SELECT lower(outlet) AS k, MIN(outlet) AS v FROM e_outlet WHERE outlet IS NOT NULL AND outlet <> ''
+d_city AS (SELECT lower(city) AS k, MIN(TRY_CAST(outlet_id AS DOUBLE)) AS o FROM e_outlet
+           WHERE city IS NOT NULL AND lower(city) <> 'unknown' GROUP BY lower(city)),
+d_outlet AS (SELECT lower(outlet) AS k, ARG_MIN(outlet, TRY_CAST(outlet_id AS DOUBLE)) AS v, MIN(TRY_CAST(outlet_id AS DOUBLE)) AS o FROM e_outlet WHERE outlet IS NOT NULL AND outlet <> ''
              GROUP BY lower(outlet)),
-q_city AS (SELECT q_id, k AS city_match FROM (
-    SELECT ql.q_id, d.k, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY length(d.k) DESC, d.k) AS rn
+q_city AS (SELECT q_id, array_to_string(list_transform(string_split(k, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS city_match FROM (
+    SELECT ql.q_id, d.k, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY d.o, d.k) AS rn
     FROM ql JOIN d_city d ON contains(ql.q, d.k) WHERE d.k <> '') WHERE rn = 1),
 q_outlet AS (SELECT q_id, v AS outlet_match FROM (
-    SELECT ql.q_id, d.v, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY length(d.k) DESC, d.k) AS rn
+    SELECT ql.q_id, d.v, ROW_NUMBER() OVER (PARTITION BY ql.q_id ORDER BY d.o, d.k) AS rn
     FROM ql JOIN d_outlet d ON contains(ql.q, d.k) WHERE d.k <> '') WHERE rn = 1),
 qf AS (
   SELECT ql.*, c.city_match, o.outlet_match,
@@ -530,7 +531,7 @@ p_review AS (
          CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS positive_score,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS negative_score,
          CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS neutral_score
-  FROM lineitem WHERE l_linenumber <= 2)
+  FROM lineitem)
 """
 
 

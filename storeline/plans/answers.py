@@ -41,7 +41,8 @@ def answers(questions: DataFrame, m: dict[str, DataFrame], k: int = retrieval.DE
         docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text")
         if persist:
             docs = cut_lineage(docs, "documents")
-        need = questions.join(it.where(F.col("query_type").isin(*RETRIEVAL_TYPES)).select("q_id"), "q_id")
+        asked = questions.where(F.regexp_like(F.coalesce("question", F.lit("")), F.lit(r"[\p{L}\p{N}_]")))  # no word: nothing to look for
+        need = asked.join(it.where(F.col("query_type").isin(*RETRIEVAL_TYPES)).select("q_id"), "q_id")
         hits = retrieval.retrieve_for_questions(need, docs, k)
     if persist and hits is not None:
         hits = cut_lineage(hits, "hits")

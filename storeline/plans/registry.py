@@ -37,11 +37,11 @@ def enriched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def enrich_outlet(spark: SparkSession, sf: str) -> DataFrame:
-    return enriched(spark, sf)[0]
+    return enriched(spark, sf)[0].withColumn("rev_std", F.round("rev_std", 4))
 
 
 def enrich_product(spark: SparkSession, sf: str) -> DataFrame:
-    return enriched(spark, sf)[1]
+    return enriched(spark, sf)[1].withColumn("price_rating_corr", F.round("price_rating_corr", 6))
 
 
 def top_performers(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +115,7 @@ def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
     return retrieval.cosine_topk(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v")),
                                  e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v")),
-                                 k=5)
+                                 k=5).withColumn("score", F.round("score", 6))
 
 
 QUERIES["documents"] = documents_table
