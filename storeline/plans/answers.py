@@ -31,19 +31,19 @@ def build_masters(tables, persist: bool = True) -> dict[str, DataFrame]:
 
 
 def answers(questions: DataFrame, m: dict[str, DataFrame], k: int = retrieval.DEFAULT_K,
-            use_retrieval: bool = True, persist: bool = True) -> DataFrame:
+            use_retrieval: bool = True, persist: bool = True, vectoriser=None) -> DataFrame:
     """(q_id, query_type, context, messages, error) for every question."""
     it = intents.parse(questions, m["eo"])
     if persist:
         it = cut_lineage(it, "intents")
     hits = None
     if use_retrieval:
-        docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text")
+        docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text", vectoriser=vectoriser)
         if persist:
             docs = cut_lineage(docs, "documents")
         asked = questions.where(F.regexp_like(F.coalesce("question", F.lit("")), F.lit(r"[\p{L}\p{N}_]")))  # no word: nothing to look for
         need = asked.join(it.where(F.col("query_type").isin(*RETRIEVAL_TYPES)).select("q_id"), "q_id")
-        hits = retrieval.retrieve_for_questions(need, docs, k)
+        hits = retrieval.retrieve_for_questions(need, docs, k, vectoriser)
     if persist and hits is not None:
         hits = cut_lineage(hits, "hits")
     ev, qsig, members = select.evidence(it, m["eo"], m["ep"], hits, persist=persist)
