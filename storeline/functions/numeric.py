@@ -6,8 +6,6 @@ no Python runs per row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,11 +71,6 @@ def guarded_ratio(n: Column, d: Column) -> Column:
     return F.when(d > 0, n.cast("double") / d.cast("double")).otherwise(F.lit(0.0))
 
 
-def mean_of(c: Column) -> Column:
-    """Mean as ``double(sum) / count``: exact sum for decimals, one IEEE division."""
-    return F.sum(c).cast("double") / F.count(c)
-
-
 def finite_or_zero(c: Column) -> Column:
     """inf / NaN / NULL -> 0.0 (for doubles)."""
     d = c.cast("double")
@@ -103,7 +96,3 @@ def minmax_scale(df: DataFrame, cols: dict[str, str]) -> DataFrame:
         joined = joined.withColumn(
             out, F.when(mn.isNull() | mx.isNull() | (mx == mn), F.lit(0.0)).otherwise((e - mn) / (mx - mn)))
     return joined.drop(*[c for c in joined.columns if c.startswith("__mn_") or c.startswith("__mx_")])
-
-
-def present(df: DataFrame, names: Iterable[str]) -> list[str]:
-    return [n for n in names if n in df.columns]
