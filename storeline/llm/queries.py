@@ -124,7 +124,7 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and removed lines of every document, and the digest of the text that stays (null text: of empty text)."""
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), counts=True)
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), counts=True, candidates="grams")
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
                       sha(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
 
