@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeline.llm import chat, decontaminate, line_dedup, quality, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_count, topk
+from storeline.llm import (chat, conversation_repair, decontaminate, license_scan, line_dedup, quality, secret_scan, sentencepiece_codec, simhash,
+                           spelling, substring_dedup, token_count, topk)
 from storeline.llm.common import read_table
 
 
@@ -156,6 +157,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(read_table(spark, sf_dir, "documents"), misspell=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = read_table(spark, sf_dir, "conversations")
+    fixed = conversation_repair.repair(conversation_repair.damage(whole))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    found = fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", sha(said).alias("repaired_sha256"))
+    # conversations that lost every row to the damage
+    asked = whole.select(F.col("conv_id").alias("asked")).distinct()
+    both = asked.join(found, F.col("asked").eqNullSafe(F.col("conv_id")), "left")
+    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    none |= {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", sha(F.lit("")))}
+    return both.withColumns(none | {"conv_id": F.col("asked")}).drop("asked")
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    starts = F.transform("base", lambda x: x["first_word"])
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), labels(F.col("base")).alias("base_labels"),
+                        labels(F.concat("base", "fuzzy")).alias("labels"), "score")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_topk": op2_exact_topk,
@@ -167,6 +195,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_license_scans": op13_license_scans,
 }
 
 SQL: dict[str, str] = {
