@@ -554,7 +554,7 @@ FROM {cte}""")
 
 SELECTION_CTES = r"""
 fq AS (
-  SELECT i.q_id, i.query_type, i.metrics, i.ranking_n, i.superlative,
+  SELECT i.q_id, i.query_type, i.entity, i.aggregate_type, i.comparison_entities, i.metrics, i.ranking_n, i.superlative,
          CASE WHEN i.query_type = 'location' OR i.entity = 'outlet' THEN 'outlet' ELSE 'product' END AS tbl,
          lower(i.filter_city) AS f_city, lower(i.filter_category) AS f_cat,
          CASE WHEN i.price_min <> 0 THEN CAST(i.price_min AS DOUBLE) END AS pmin,
@@ -562,12 +562,12 @@ fq AS (
          CASE WHEN i.rating_min <> 0 THEN i.rating_min END AS rmin
   FROM intents i),
 rows_all AS (
-  SELECT 'outlet' AS tbl, outlet_id AS pk, lower(city) AS city_l, CAST(NULL AS VARCHAR) AS cat_l,
+  SELECT 'outlet' AS tbl, outlet_id AS pk, lower(outlet) AS name_l, lower(city) AS city_l, CAST(NULL AS VARCHAR) AS cat_l,
          CAST(NULL AS DOUBLE) AS price, total_revenue AS revenue, total_units_sold AS units,
          avg_quality_score AS rating, CAST(unique_customers AS DOUBLE) AS customers, performance_score AS perf
   FROM e_outlet
   UNION ALL
-  SELECT 'product', product_id, NULL, lower(category), price, revenue_total, units_sold_total,
+  SELECT 'product', product_id, lower(product_name), NULL, lower(category), price, revenue_total, units_sold_total,
          avg_quality_score, NULL, performance_score
   FROM e_product),
 pairs AS (
@@ -589,12 +589,58 @@ eff_rows AS (
 """
 
 
+# the first row whose name holds the entity, for each compared entity that is not blank
+NAMES_CTE = r"""
+ents AS (SELECT e.q_id, t.i AS pos, lower(x[t.i]) AS ent
+         FROM (SELECT q_id, string_split(comparison_entities, ' | ') AS x FROM eff
+               WHERE query_type = 'comparison' AND comparison_entities <> '') e, unnest(range(1, len(x) + 1)) AS t(i)),
+hits AS (SELECT q_id, pos, tbl, pk FROM (
+    SELECT n.q_id, n.pos, r.tbl, r.pk,
+           ROW_NUMBER() OVER (PARTITION BY n.q_id, n.pos ORDER BY TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS rn
+    FROM ents n JOIN eff_rows r ON n.q_id = r.q_id AND contains(r.name_l, n.ent) WHERE trim(n.ent) <> '') WHERE rn = 1)
+"""
+
+
 def _selection_sql() -> dict[str, str]:
     blocks = (*ALL_ENRICH, question_cte(), intents_ctes(), SELECTION_CTES)
     q = {}
     q["filter_or_all"] = with_ctes(*blocks, body="""
-SELECT e.q_id, e.tbl, COUNT(*) AS n_rows, e.filtered
+SELECT e.q_id, e.tbl, COUNT(*) AS n_rows, SUM(CAST('0x' || substr(md5(r.pk), 1, 8) AS BIGINT))::BIGINT AS key_sum,
+       MIN(r.pk) AS first_key, MAX(r.pk) AS last_key, e.filtered
 FROM eff e JOIN eff_rows r ON e.q_id = r.q_id GROUP BY e.q_id, e.tbl, e.filtered""")
+    q["handle_list"] = with_ctes(*blocks, body="""
+SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM (
+  SELECT r.q_id, r.tbl, r.pk, ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS pos
+  FROM eff e JOIN eff_rows r ON e.q_id = r.q_id WHERE e.query_type = 'list')
+WHERE pos <= 50""")
+    q["handle_comparison"] = with_ctes(*blocks, NAMES_CTE, body="""
+SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM hits
+UNION ALL
+SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM (
+  SELECT r.q_id, r.tbl, r.pk, ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY r.perf DESC NULLS LAST, TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS pos
+  FROM eff e JOIN eff_rows r ON e.q_id = r.q_id
+  WHERE e.query_type = 'comparison' AND e.q_id NOT IN (SELECT q_id FROM hits))
+WHERE pos <= 2""")
+    q["handle_aggregate"] = with_ctes(*blocks, body="""
+SELECT e.q_id, e.tbl, e.aggregate_type AS agg_type,
+       CASE WHEN e.aggregate_type = 'count' THEN COUNT(*) END AS count,
+       CASE WHEN e.aggregate_type = 'count' THEN e.entity END AS entity_type,
+       CASE WHEN e.aggregate_type = 'total' THEN trunc(SUM(CAST(r.revenue AS DECIMAL(38,4)))::DOUBLE)::BIGINT END AS total_revenue,
+       CASE WHEN e.aggregate_type = 'total' THEN trunc(SUM(CAST(r.units AS DECIMAL(38,4)))::DOUBLE)::BIGINT END AS total_units,
+       CASE WHEN e.aggregate_type = 'average' AND e.priced THEN round_even(SUM(CAST(r.price AS DECIMAL(38,4)))::DOUBLE / COUNT(r.price), 2) END AS average_price,
+       CASE WHEN e.aggregate_type = 'average' THEN round_even(SUM(CAST(r.revenue AS DECIMAL(38,4)))::DOUBLE / COUNT(r.revenue), 2) END AS average_revenue,
+       CASE WHEN e.aggregate_type = 'median' AND e.priced THEN round_even(MEDIAN(CAST(r.price AS DOUBLE)), 2) END AS median_price
+FROM (SELECT *, contains(',' || metrics || ',', ',price,') AND tbl = 'product' AS priced FROM eff) e JOIN eff_rows r ON e.q_id = r.q_id
+WHERE e.query_type = 'aggregate' GROUP BY e.q_id, e.tbl, e.aggregate_type, e.entity, e.priced""")
+    q["handle_analytical"] = with_ctes(*blocks, body="""
+SELECT e.q_id, 0 AS pos, 'summary' AS kind, e.tbl, CAST(NULL AS VARCHAR) AS pk,
+       round_even(AVG(r.perf), 2) AS avg_performance, round_even(STDDEV_SAMP(r.perf), 2) AS std_performance
+FROM eff e JOIN eff_rows r ON e.q_id = r.q_id WHERE e.query_type = 'analytical' GROUP BY e.q_id, e.tbl
+UNION ALL
+SELECT q_id, CAST(pos AS INTEGER) AS pos, 'row', tbl, pk, NULL, NULL FROM (
+  SELECT r.q_id, r.tbl, r.pk, ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY r.perf DESC NULLS LAST, TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS pos
+  FROM eff e JOIN eff_rows r ON e.q_id = r.q_id WHERE e.query_type = 'analytical')
+WHERE pos <= 3""")
     q["handle_ranking"] = with_ctes(*blocks, body="""
 SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM (
   SELECT r.q_id, r.tbl, r.pk,

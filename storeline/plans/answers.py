@@ -46,8 +46,8 @@ def answers(questions: DataFrame, m: dict[str, DataFrame], k: int = retrieval.DE
         hits = retrieval.retrieve_for_questions(need, docs, k, vectoriser)
     if persist and hits is not None:
         hits = cut_lineage(hits, "hits")
-    ev, qsig, members = select.evidence(it, m["eo"], m["ep"], hits, persist=persist)
-    summaries = select.summary_records(qsig.where(F.col("query_type") == "analytical"), members)
+    ev, sel = select.evidence(it, m["eo"], m["ep"], hits)
+    summaries = select.summary_records(sel)
     ctx = context.contexts(it, ev, m["eo"], m["ep"], m["mo"], m["mp"], summaries)
     out = (it.select("q_id", "query_type").join(ctx, "q_id")
            .join(questions.select("q_id", "question"), "q_id"))

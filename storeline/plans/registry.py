@@ -118,6 +118,17 @@ def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
                                  k=5).withColumn("score", F.round("score", 6))
 
 
+def retrieve_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 / J8 by locality-sensitive buckets: approximate top-5 of every vector of ``embeddings`` among all of them."""
+    from storeline.operators import approximate
+    from storeline.sources.testdata import read_table
+    e = read_table(spark, sf, "embeddings")
+    return approximate.approximate_topk(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v")),
+                                        e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v")),
+                                        k=5).withColumn("score", F.round("score", 6))
+
+
+QUERIES["retrieve_approximate"] = retrieve_approximate
 QUERIES["documents"] = documents_table
 QUERIES["embed_documents"] = embed_documents
 QUERIES["retrieve_topk"] = retrieve_topk
@@ -202,7 +213,7 @@ def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text")
     need = qs.join(it.where(F.col("query_type").isin(*answers.RETRIEVAL_TYPES)).select("q_id"), "q_id")
     hits = retrieval.retrieve_for_questions(need, docs)
-    ev, _, _ = select.evidence(it, m["eo"], m["ep"], hits, persist=True)
+    ev, _ = select.evidence(it, m["eo"], m["ep"], hits)
     return ev.select("q_id", "pos", "kind", "tbl", "pk")
 
 
@@ -225,23 +236,53 @@ def _selection_inputs(spark: SparkSession, sf: str):
 
 
 def filter_or_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows each question's filters select, or the whole table when they select none."""
+    """The keys each question's filters select, or the whole table's when they select none.
+
+    A set of keys is given by its size, its first and last key and the sum of a number made of each key."""
+    from storeline.operators import select
+    m, it = _selection_inputs(spark, sf)
+    sel = select.selection(select.signatures(it), select.slim_masters(m["eo"], m["ep"]))
+    return sel.q.join(sel.stats, "esig").select("q_id", "tbl", F.col("n").alias("n_rows"), "key_sum", "first_key", "last_key",
+                                                (F.coalesce(F.col("n_sel"), F.lit(0)) > 0).alias("filtered"))
+
+
+def _handled(spark: SparkSession, sf: str, query_type: str) -> DataFrame:
     from storeline.operators import select
     m, it = _selection_inputs(spark, sf)
-    q = select.signatures(it)
-    members = select.memberships(q, select.slim_masters(m["eo"], m["ep"]))
-    q = select.effective(q, members)
-    n = members.groupBy(F.col("sig").alias("esig")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return q.join(n, "esig").select("q_id", "tbl", "n_rows",
-                                   (F.coalesce(F.col("n_sel"), F.lit(0)) > 0).alias("filtered"))
+    return select.evidence(it.where(F.col("query_type") == query_type), m["eo"], m["ep"], None)[0]
 
 
 def handle_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """H4 / L1-L2: the ranked rows of every ranking question."""
+    return _handled(spark, sf, "ranking").select("q_id", "pos", "tbl", "pk")
+
+
+def handle_list(spark: SparkSession, sf: str) -> DataFrame:
+    """H5 / L4: the first rows of every list question, in file order."""
+    return _handled(spark, sf, "list").select("q_id", "pos", "tbl", "pk")
+
+
+def handle_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 / F8 / U4: the row of each compared entity, or the two best rows."""
+    return _handled(spark, sf, "comparison").select("q_id", "pos", "tbl", "pk")
+
+
+def handle_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    """The record of every aggregate question."""
+    return _handled(spark, sf, "aggregate").select("q_id", "tbl", "agg_type", "count", "entity_type", "total_revenue", "total_units",
+                                                   "average_price", "average_revenue", "median_price")
+
+
+def handle_analytical(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of every analytical question in front (pos 0), then its top performers."""
     from storeline.operators import select
     m, it = _selection_inputs(spark, sf)
-    ev, _, _ = select.evidence(it.where(F.col("query_type") == "ranking"), m["eo"], m["ep"], None)
-    return ev.select("q_id", "pos", "tbl", "pk")
+    ev, sel = select.evidence(it.where(F.col("query_type") == "analytical"), m["eo"], m["ep"], None)
+    both = ev.join(select.summary_records(sel), "esig", "left")
+    own = F.col("kind") == "summary"
+    return both.select("q_id", "pos", "kind", "tbl", "pk", F.when(own, F.col("avg_performance")).alias("avg_performance"),
+                       F.when(own, F.col("std_performance")).alias("std_performance"))
 
 
-QUERIES.update({"filter_or_all": filter_or_all, "handle_ranking": handle_ranking})
+QUERIES.update({"filter_or_all": filter_or_all, "handle_ranking": handle_ranking, "handle_list": handle_list,
+                "handle_comparison": handle_comparison, "handle_aggregate": handle_aggregate, "handle_analytical": handle_analytical})
