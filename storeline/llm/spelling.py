@@ -2,7 +2,7 @@
 
 The vocabulary (every word with its number of occurrences) becomes two tries, one over the words and one over the reversed
 words, held as one distributed edge table: (node, first character, label, child). Chains without a branch are one edge, and
-an edge of the empty character marks the end of a word, so a trie has fewer than two edges a word however long words are. A
+an edge of the empty character marks the end of a word, so a trie has fewer than three edges a word however long words are. A
 node is known by the sum of hashes of the (character, depth) pairs that lead to it; a collision can only add candidates, and
 every pair is checked by its edit distance in the end.
 
@@ -139,43 +139,56 @@ def paths(words: DataFrame) -> DataFrame:
 
 
 def edge_table(routes: DataFrame) -> DataFrame:
-    """(node, first, label, child, end, end_n): one row per edge; the edge of the empty character ends the word ``end``."""
+    """(node, first, label, child, end, end_n, follows, left): one row per edge; the edge of the empty character ends the word ``end``.
+
+    follows and left say what lies below the child: bit c % 64 for every first character c of its edges (0: a word ends), bit
+    r (at most 62) for every word with r characters left. They may let through a state that ends one edge further on, but
+    stop none that could reach the end of a word."""
     steps = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.struct(
-        F.col("path")[i]["node"].alias("node"),
+        F.col("path")[i]["node"].alias("node"), F.col("path")[i]["depth"].alias("depth"),
         F.when(i + 1 < F.size("path"), F.substring("spelt", F.col("path")[i]["depth"] + 1, F.get("path", i + 1)["depth"] - F.col("path")[i]["depth"]))
         .otherwise(F.lit("")).alias("label"), F.get("path", i + 1)["node"].alias("child")))
     edges = routes.select("spelt", "n", F.explode(steps).alias("e")).select(
         "e.node", F.left("e.label", F.lit(1)).alias("first"), "e.label", "e.child",
-        F.when(F.col("e.child").isNull(), F.struct(F.col("spelt").alias("end"), F.col("n").alias("end_n"))).alias("e"))
-    one = edges.groupBy("node", "first").agg(*(F.first(c).alias(c) for c in ("label", "child", "e")))
-    return one.select("node", "first", "label", "child", "e.end", "e.end_n")
+        F.when(F.col("e.child").isNull(), F.struct(F.col("spelt").alias("end"), F.col("n").alias("end_n"))).alias("e"),
+        F.expr("shiftleft(1L, least(length(spelt) - e.depth, 62))").alias("left"))
+    one = edges.groupBy("node", "first").agg(*(F.first(c).alias(c) for c in ("label", "child", "e")), F.bit_or("left").alias("left"))
+    one = cut_lineage(one.select("node", "first", "label", "child", "e.end", "e.end_n", "left"), "edges")
+    below = one.groupBy(F.col("node").alias("child")).agg(F.bit_or(F.expr("shiftleft(1L, ascii(first) % 64)")).alias("follows"), F.bit_or("left").alias("left"))
+    return one.drop("left").join(below, "child", "left").select("node", "first", "label", "child", "end", "end_n", "follows", "left")
 
 
 def rest(at: Column, size: Column) -> Column:
     return F.substring("spelt", at + 1, size)
 
 
+def alive(at: str) -> Column:
+    """Whether the child of the edge at hand may lead a state at place ``at`` to the end of a word."""
+    return F.expr(f"child IS NULL OR (shiftright(left, least(length(spelt) - {at}, 62)) & 1 = 1 "
+                  f"AND shiftright(follows, ascii(substring(spelt, {at} + 1, 1)) % 64) & 1 = 1)")
+
+
 def left_path(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """One-edit states right behind the edge by which they left their word's path, and the neighbours met there."""
     own = routes.select("spelt", "n", "backward", F.explode("path").alias("p")).where(
         F.col("p.depth") >= half(F.length("spelt"), F.col("backward"))).select("spelt", "n", "backward", F.col("p.depth").alias("at"), "p.node")
     met = own.join(edges, "node").where(F.col("first") != rest(F.col("at"), F.lit(1)))
-    size, at, tail = F.length("label"), F.col("at"), F.substring("label", 2, 1 << 30)
-    left = F.length("spelt") - at
+    size, at, tail, left = F.length("label"), F.col("at"), F.substring("label", 2, 1 << 30), F.length("spelt") - F.col("at")
     replaced = (size > 0) & (left >= size) & (tail == rest(at + 1, size - 1))
     inserted = (size > 0) & (left >= size - 1) & (tail == rest(at, size - 1))
     # the end of a word is an edge without a label: it may only take the place of the word's last character
     deleted = (left > F.when(size > 0, size).otherwise(F.lit(0))) & (F.col("label") == rest(at + 1, size)) & ((size > 0) | (left == 1))
     states = F.array(F.when(replaced, at + size), F.when(inserted, at + size - 1), F.when(deleted, at + 1 + size))
-    met = met.withColumn("to", F.filter(states, lambda x: x.isNotNull())).where(F.size("to") > 0)
-    return met.select("spelt", "n", "backward", F.explode("to").alias("at"), F.col("child").alias("node"), "end", "end_n")
+    to = met.withColumn("to", F.explode(F.filter(states, lambda x: x.isNotNull()))).where(alive("to"))
+    return to.select("spelt", "n", "backward", F.col("to").alias("at"), F.col("child").alias("node"), "end", "end_n")
 
 
 def one_level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """One-edit states one edge further, without another edit."""
     there = states.select("spelt", "n", "backward", "at", "node", rest(F.col("at"), F.lit(1)).alias("first"))
     moved = there.join(edges, ["node", "first"]).where(F.col("label") == rest(F.col("at"), F.length("label")))
-    return moved.select("spelt", "n", "backward", (F.col("at") + F.length("label")).alias("at"), F.col("child").alias("node"), "end", "end_n")
+    moved = moved.withColumn("to", F.col("at") + F.length("label")).where(alive("to"))
+    return moved.select("spelt", "n", "backward", F.col("to").alias("at"), F.col("child").alias("node"), "end", "end_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
