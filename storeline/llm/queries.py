@@ -68,10 +68,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.format_conversations(rows.unionByName(forged), chat.INSTRUCT)
     read = made.withColumn("turns", chat.parse(F.col("formatted"), chat.INSTRUCT))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda g: g["loss"]), lambda g: chat.unescape(g["text"])), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"),
                        F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"),
-                       F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
 
 
 OP4_SQL = """
@@ -83,8 +83,11 @@ e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(n)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+       sum(n)::BIGINT AS formatted_chars,
+       regexp_full_match(string_agg(m, '' ORDER BY turn, role, text), 's?(ua)+') AS valid,
+       CASE WHEN length(regexp_extract(string_agg(m, '' ORDER BY turn, role, text), '^s?(ua)*u?')) < count(*)
+            THEN length(regexp_extract(string_agg(m, '' ORDER BY turn, role, text), '^s?(ua)*u?'))::INTEGER END AS bad_turn
+FROM (SELECT *, CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS m FROM e) GROUP BY conv_id
 """
 
 

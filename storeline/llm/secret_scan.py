@@ -32,8 +32,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = 20
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}+"
 WORDS = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{4,}+"
-#: Least ratio (nats a pair, and in sum) of a secret; weight of the fall-back in each row; documents that samples come from at most.
-LEAST_MEAN, LEAST_SUM, SMOOTHING, SAMPLE_DOCS = 1.0, 20.0, 5.0, 20_000
+#: Least ratio (nats a pair, and in sum) of a secret; weight of the fall-back in each row.
+LEAST_MEAN, LEAST_SUM, SMOOTHING = 1.0, 20.0, 5.0
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -77,11 +77,9 @@ def outside(runs: Column, spans: Column) -> Column:
     return F.when(F.size(runs) > 0, last).otherwise(F.array().cast(SPAN))
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(value, random): labelled samples of at most ``max_docs`` documents, by least hash of their ids."""
-    few = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    mine = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    mine = mine.join(F.broadcast(few), "id")  # ids only, max_docs at most
+def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(value, random): labelled samples of all documents, so that one secret in however many is learned from."""
+    mine = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     value = F.transform(F.concat(*pattern_spans(F.col("body"))), lambda s: s["value"])
     rest = F.col("body")
     for pattern in (ASSIGN, ACCESS, HEX):
@@ -122,10 +120,13 @@ def ratios(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratio(value: Column, ratio: Column) -> Column:
-    """Sum of the ratios of a string's character pairs."""
+    """Sum of the ratios of a string's character pairs, in one pass over its characters."""
     n = len(ALPHABET)
-    place = lambda i: F.position(F.substring(value, i, F.lit(1)), F.lit(ALPHABET)) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda a, i: a + F.get(ratio, place(i) * n + place(i + 1)))
+    place = lambda c: F.position(c, F.lit(ALPHABET)) - 1
+    return F.aggregate(
+        F.split(value, ""), F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last")),
+        lambda a, c: F.struct((a["sum"] + F.when(a["last"] >= 0, F.get(ratio, a["last"] * n + place(c))).otherwise(0.0)).alias("sum"), place(c).alias("last")),
+        lambda a: a["sum"])
 
 
 def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
