@@ -155,7 +155,10 @@ def edge_table(routes: DataFrame) -> DataFrame:
     one = edges.groupBy("node", "first").agg(*(F.first(c).alias(c) for c in ("label", "child", "e")), F.bit_or("left").alias("left"))
     one = cut_lineage(one.select("node", "first", "label", "child", "e.end", "e.end_n", "left"), "edges")
     below = one.groupBy(F.col("node").alias("child")).agg(F.bit_or(F.expr("shiftleft(1L, ascii(first) % 64)")).alias("follows"), F.bit_or("left").alias("left"))
-    return one.drop("left").join(below, "child", "left").select("node", "first", "label", "child", "end", "end_n", "follows", "left")
+    # ends of words have no child: kept out of the join, where they would all meet in one task
+    one = one.drop("left")
+    both = one.where("child is not null").join(below, "child", "left").unionByName(one.where("child is null"), allowMissingColumns=True)
+    return both.select("node", "first", "label", "child", "end", "end_n", "follows", "left")
 
 
 def rest(at: Column, size: Column) -> Column:
