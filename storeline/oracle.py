@@ -325,6 +325,8 @@ def sql() -> dict[str, str]:
     q.update(_doc_sql())
     q.update(_misc_sql())
     q.update(_selection_sql())
+    q.update(_evidence_sql())
+    q.update(_source_sql())
     return q
 
 
@@ -438,17 +440,145 @@ def _intent_sql() -> dict[str, str]:
     return {"intents": with_ctes(*blocks, body="SELECT * FROM intents")}
 
 
-def _doc_sql() -> dict[str, str]:
+# columns of the document texts, in their order
+DOC_TEXTS = {
+    "outlet": ["outlet_id", "outlet", "city", "total_revenue", "total_units_sold", "unique_customers", "avg_quality_score",
+               "avg_sentiment_signal", "outlet_score"],
+    "product": ["product_id", "product_name", "category", "price", "units_sold_total", "revenue_total", "avg_quality_score",
+                "avg_sentiment_signal", "product_score"],
+}
+
+
+def doc_cte(products: bool = True) -> str:
     def part(c):
         return f"'{c}: ' || COALESCE(CAST({c} AS VARCHAR), 'nan')"
-    from storeline.operators.retrieval import OUTLET_DOC_COLUMNS, PRODUCT_DOC_COLUMNS
-    o = " || ' | ' || ".join(part(c) for c in OUTLET_DOC_COLUMNS)
-    p = " || ' | ' || ".join(part(c) for c in PRODUCT_DOC_COLUMNS)
-    docs = with_ctes(*ALL_MASTER, body=(
-        f"SELECT 'master_outlet:' || outlet_id AS id, 'master_outlet' AS source, outlet_id AS pk, {o} AS text "
-        f"FROM master_outlet UNION ALL "
-        f"SELECT 'master_product:' || product_id AS id, 'master_product' AS source, product_id AS pk, {p} AS text "
-        f"FROM master_product"))
+    sides = [f"SELECT 'master_{t}:' || {t}_id AS id, 'master_{t}' AS source, '{t}' AS tbl, {t}_id AS pk, "
+             + " || ' | ' || ".join(part(c) for c in DOC_TEXTS[t]) + f" AS text FROM master_{t}" for t in ("outlet", "product")[:1 + products]]
+    return "doc AS (" + " UNION ALL ".join(sides) + ")"
+
+
+# counts of words in 384 buckets by md5, as unit vectors of single precision, made unit again
+VECTOR_CTES = r"""
+d_tf AS (SELECT id, b, COUNT(*) AS tf FROM (
+    SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS b
+    FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM doc)) GROUP BY id, b),
+d_u AS (SELECT id, b, CAST(tf / n AS FLOAT) AS u FROM d_tf JOIN (SELECT id, sqrt(SUM(tf * tf)) AS n FROM d_tf GROUP BY id) USING (id))
+"""
+HIT_CTES = VECTOR_CTES + r""",
+d_v AS (SELECT id, b, u::DOUBLE / n AS v FROM d_u JOIN (SELECT id, sqrt(SUM(u::DOUBLE * u::DOUBLE)) AS n FROM d_u GROUP BY id) USING (id)),
+need AS (SELECT i.q_id, s.question FROM intents i JOIN qs s USING (q_id) WHERE {need} AND regexp_matches(COALESCE(s.question, ''), '[\p{L}\p{N}_]')),
+q_tf AS (SELECT q_id, b, COUNT(*) AS tf FROM (
+    SELECT q_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 384 AS b
+    FROM (SELECT q_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS w FROM need)) GROUP BY q_id, b),
+q_u AS (SELECT q_id, b, CAST(tf / n AS FLOAT) AS u FROM q_tf JOIN (SELECT q_id, sqrt(SUM(tf * tf)) AS n FROM q_tf GROUP BY q_id) USING (q_id)),
+q_v AS (SELECT q_id, b, u::DOUBLE / n AS v FROM q_u JOIN (SELECT q_id, sqrt(SUM(u::DOUBLE * u::DOUBLE)) AS n FROM q_u GROUP BY q_id) USING (q_id)),
+met AS (SELECT q_id, id, SUM(q_v.v * d_v.v) AS sc FROM q_v JOIN d_v USING (b) GROUP BY q_id, id),
+found AS (SELECT q_id, id, source, tbl, pk, score, ROW_NUMBER() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank
+          FROM (SELECT n.q_id, d.id, d.source, d.tbl, d.pk, ROUND(COALESCE(m.sc, 0), 9) AS score
+                FROM need n CROSS JOIN doc d LEFT JOIN met m ON m.q_id = n.q_id AND m.id = d.id) QUALIFY rank <= 5)
+"""
+
+EVIDENCE_CTES = r"""
+ents AS (SELECT e.q_id, e.query_type, t.i - 1 AS i, lower(x[t.i]) AS ent
+         FROM (SELECT q_id, query_type, string_split(comparison_entities, ' | ') AS x FROM eff
+               WHERE query_type IN ('location', 'comparison', 'detail', 'simple_fact') AND comparison_entities <> '') e,
+              unnest(range(1, len(x) + 1)) AS t(i)),
+named AS (SELECT n.q_id, n.query_type, n.i, n.ent, r.name_l = n.ent AS exact, r.tbl, r.pk
+          FROM ents n JOIN eff_rows r ON n.q_id = r.q_id AND contains(r.name_l, n.ent)),
+firsts AS (
+  SELECT q_id, query_type, i, exact, ent, tbl, pk,
+         ROW_NUMBER() OVER (PARTITION BY q_id, i ORDER BY TRY_CAST(pk AS DOUBLE) NULLS LAST, pk) AS rn_any,
+         ROW_NUMBER() OVER (PARTITION BY q_id, i, exact ORDER BY TRY_CAST(pk AS DOUBLE) NULLS LAST, pk) AS rn_exact
+  FROM named),
+placed AS (
+  SELECT r.q_id, e.query_type, e.filter_city, CASE WHEN COALESCE(e.ranking_n, 0) = 0 THEN 5 ELSE e.ranking_n END AS n, r.tbl, r.pk,
+         ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS by_file,
+         ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY r.perf DESC NULLS LAST, TRY_CAST(r.pk AS DOUBLE) NULLS LAST, r.pk) AS by_perf,
+         ROW_NUMBER() OVER (PARTITION BY r.q_id ORDER BY
+           (CASE WHEN COALESCE(e.superlative, '') = 'min' THEN 1 ELSE -1 END) *
+           (CASE WHEN contains(',' || e.metrics || ',', ',price,') AND e.tbl = 'product' THEN r.price
+                 WHEN contains(',' || e.metrics || ',', ',revenue,') THEN r.revenue
+                 WHEN contains(',' || e.metrics || ',', ',volume,') THEN r.units
+                 WHEN contains(',' || e.metrics || ',', ',rating,') THEN r.rating
+                 WHEN contains(',' || e.metrics || ',', ',customers,') AND e.tbl = 'outlet' THEN r.customers
+                 ELSE r.perf END) ASC NULLS LAST, TRY_CAST(r.pk AS DOUBLE) ASC NULLS LAST, r.pk) AS by_rank
+  FROM eff e JOIN eff_rows r ON e.q_id = r.q_id),
+options AS (
+  SELECT q_id, 0 AS way, by_rank AS pos, 'row' AS kind, tbl, pk FROM placed WHERE query_type = 'ranking' AND by_rank <= n
+  UNION ALL SELECT q_id, 0, by_file, 'row', tbl, pk FROM placed WHERE query_type = 'list' AND by_file <= 50
+  UNION ALL SELECT q_id, 0, by_perf, 'row', tbl, pk FROM placed WHERE query_type = 'analytical' AND by_perf <= 3
+  UNION ALL SELECT q_id, 0, 0, 'summary', tbl, NULL FROM eff WHERE query_type = 'analytical'
+  UNION ALL SELECT q_id, 0, 1, 'agg', tbl, NULL FROM eff WHERE query_type = 'aggregate'
+  UNION ALL SELECT q_id, 1 + 2 * i + CASE WHEN exact THEN 0 ELSE 1 END, 1, 'row', tbl, pk FROM firsts WHERE query_type = 'location' AND rn_exact = 1
+  UNION ALL SELECT q_id, 1000000, by_file, 'row', tbl, pk FROM placed WHERE query_type = 'location' AND filter_city IS NOT NULL AND by_file <= 10
+  UNION ALL SELECT q_id, 2000000, 1, 'doc', 'outlet', arg_min(pk, rank) FROM found WHERE source = 'master_outlet'
+            AND q_id IN (SELECT q_id FROM eff WHERE query_type = 'location') GROUP BY q_id
+  UNION ALL SELECT q_id, 3000000, by_file, 'row', tbl, pk FROM placed WHERE query_type = 'location' AND by_file <= 20
+  UNION ALL SELECT q_id, 0, i + 1, 'row', tbl, pk FROM firsts WHERE query_type = 'comparison' AND rn_any = 1 AND trim(ent) <> ''
+  UNION ALL SELECT q_id, 1, by_perf, 'row', tbl, pk FROM placed WHERE query_type = 'comparison' AND by_perf <= 2
+  UNION ALL SELECT q_id, i, 1, 'row', tbl, pk FROM firsts WHERE query_type IN ('detail', 'simple_fact') AND rn_any = 1
+  UNION ALL SELECT q_id, 2000000, 1, 'doc', tbl, pk FROM found WHERE rank = 1 AND q_id IN (SELECT q_id FROM eff WHERE query_type IN ('detail', 'simple_fact'))
+  UNION ALL SELECT q_id, 3000000, 1, 'row', tbl, pk FROM placed WHERE query_type IN ('detail', 'simple_fact') AND by_perf = 1),
+taken AS (SELECT * FROM options WHERE (q_id, way) IN (SELECT (q_id, MIN(way)) FROM options GROUP BY q_id)),
+records AS (
+  SELECT 'row' AS kind, 'outlet' AS tbl, outlet_id AS pk, {n_eo} AS n_fields, outlet AS name, city AS grp, CAST(total_revenue AS VARCHAR) AS revenue FROM e_outlet
+  UNION ALL SELECT 'row', 'product', product_id, {n_ep}, product_name, category, CAST(revenue_total AS VARCHAR) FROM e_product
+  UNION ALL SELECT 'doc', 'outlet', outlet_id, {n_mo}, outlet, city, CAST(total_revenue AS VARCHAR) FROM master_outlet
+  UNION ALL SELECT 'doc', 'product', product_id, {n_mp}, product_name, category, CAST(revenue_total AS VARCHAR) FROM master_product)
+"""
+
+# columns of the masters, as stored and enriched
+N_FIELDS = {"mo": 25, "mp": 21, "eo": 30, "ep": 27}
+READS = "i.query_type IN ('location', 'detail', 'simple_fact')"
+ABOUT_PRODUCTS = "(i.query_type <> 'location' AND i.entity <> 'outlet')"
+
+
+def _evidence_sql() -> dict[str, str]:
+    blocks = (*ALL_ENRICH, question_cte(), intents_ctes())
+    q = {}
+    q["evidence"] = with_ctes(*blocks, SELECTION_CTES, doc_cte(), HIT_CTES.replace("{need}", READS),
+                              EVIDENCE_CTES.format(n_eo=N_FIELDS["eo"], n_ep=N_FIELDS["ep"], n_mo=N_FIELDS["mo"], n_mp=N_FIELDS["mp"]), body="""
+SELECT t.q_id, CAST(t.pos AS INTEGER) AS pos, t.kind, t.tbl, t.pk, ROUND(CASE WHEN t.kind = 'doc' THEN f.score ELSE 1.0 END, 6) AS score,
+       CAST(r.n_fields AS BIGINT) AS n_fields, r.name, r.grp, r.revenue
+FROM taken t LEFT JOIN found f ON t.kind = 'doc' AND f.q_id = t.q_id AND f.tbl = t.tbl AND f.pk = t.pk
+     LEFT JOIN records r ON r.kind = t.kind AND r.tbl = t.tbl AND r.pk = t.pk""")
+    # without products every product question reads the five nearest documents, which are outlets
+    q["select_fallback"] = with_ctes(*blocks, SELECTION_CTES, doc_cte(products=False), HIT_CTES.replace("{need}", f"({READS} OR {ABOUT_PRODUCTS})"),
+                                     EVIDENCE_CTES.format(n_eo=0, n_ep=0, n_mo=0, n_mp=0), body="""
+SELECT f.q_id, CAST(f.rank AS INTEGER) AS pos, f.tbl, f.pk, ROUND(f.score, 6) AS score
+FROM found f JOIN eff e USING (q_id) WHERE e.tbl = 'product'
+UNION ALL
+SELECT t.q_id, CAST(t.pos AS INTEGER), t.tbl, t.pk, ROUND(f.score, 6)
+FROM taken t JOIN eff e ON e.q_id = t.q_id AND e.tbl = 'outlet' JOIN found f ON f.q_id = t.q_id AND f.tbl = t.tbl AND f.pk = t.pk
+WHERE t.kind = 'doc'""")
+    q["embed_documents"] = with_ctes(*ALL_MASTER, doc_cte(), VECTOR_CTES, body="""
+SELECT d.id, d.source, d.pk, list_transform(range(0, 384), lambda i: COALESCE(m[i], 0.0)::FLOAT) AS embedding
+FROM doc d JOIN (SELECT id, map(list(b), list(u)) AS m FROM d_u GROUP BY id) USING (id)""")
+    q["retrieve_fallback"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 OR isnan(n) THEN 1.0 ELSE n END) AS e FROM v),
+s AS (SELECT a.vec_id AS q_id, CAST(b.vec_id AS VARCHAR) AS id, list_dot_product(a.e, b.e) AS sc FROM u a, u b WHERE a.vec_id % 10 = 0)
+SELECT 'all' AS index, q_id, id, CAST(rank AS INTEGER) AS rank, ROUND(sc, 6) AS score, NULL AS fallback FROM (
+  SELECT q_id, id, sc, ROW_NUMBER() OVER (PARTITION BY q_id ORDER BY sc DESC, id) AS rank FROM s) WHERE rank <= 5
+UNION ALL
+SELECT 'none', vec_id, NULL, 1, 0.0, 'No index available—build it first.' FROM embeddings WHERE vec_id % 10 = 0"""
+    q["answer_texts"] = r"""
+WITH c AS (SELECT conv_id, role, text, conv_id * 100000 + turn AS q_id FROM conversations),
+a AS (SELECT q_id, CASE WHEN conv_id % 11 <> 3 THEN text END AS question FROM c WHERE role = 'user'
+      UNION ALL SELECT q_id, text FROM c WHERE role = 'user' AND conv_id % 13 = 5),
+n AS (SELECT *, COUNT(*) OVER (PARTITION BY q_id) AS times FROM a)
+SELECT n.q_id, CASE WHEN n.question IS NULL THEN 'Error processing query: question is null'
+                    WHEN times > 1 THEN 'Error processing query: question id is not unique'
+                    WHEN r.q_id IS NULL THEN 'Error processing query: no reply'
+                    ELSE regexp_replace(r.text, '^\s+|\s+$', '', 'g') END AS answer
+FROM n LEFT JOIN (SELECT q_id - 1 AS q_id, text FROM c WHERE role = 'assistant') r ON r.q_id = n.q_id"""
+    return q
+
+
+def _doc_sql() -> dict[str, str]:
+    docs = with_ctes(*ALL_MASTER, doc_cte(), body="SELECT id, source, pk, text FROM doc")
     topk = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
@@ -535,6 +665,40 @@ p_review AS (
 """
 
 
+PROFILE_TYPES = {
+    "price": "decimal(18,2)", "product_cost": "decimal(18,2)", "quantity": "decimal(18,2)", "unit_price": "decimal(18,2)", "date": "date",
+    "sales": "decimal(28,2)", "positive_score": "int", "negative_score": "int", "neutral_score": "int", "total_stage": "decimal(18,4)",
+    "transportation_cost": "decimal(18,4)", "cost": "decimal(18,2)", "products": "decimal(18,0)", "performance_rating": "decimal(18,6)",
+}
+
+
+def _source_sql() -> dict[str, str]:
+    parts = []
+    for table, cte, cols in PROFILE_LAYOUT:
+        if table in ("outlet", "menu", "outlet_menu", "order", "promotion", "employment"):
+            for c, _ in cols:
+                parts.append(f"""
+SELECT '{table}' AS "table", '{c}' AS "column", COUNT(*) AS rows, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+       (SELECT COALESCE(string_agg(v, ', ' ORDER BY v), '') FROM (
+          SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {cte} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples
+FROM {cte}""")
+    parts.append("""
+SELECT 'customer', 'note', COUNT(*), CAST(SUM(CASE WHEN COALESCE(text, '') = '' THEN 1 ELSE 0 END) AS BIGINT), CAST(SUM(length(text)) AS VARCHAR) FROM documents""")
+    q = {"load_tables": with_ctes(MODEL_CTES, PROFILE_EXTRA_CTES, body=" UNION ALL ".join(parts))}
+    types = ", ".join(f"('{c}', '{t}')" for c, t in PROFILE_TYPES.items())
+    q["profile_report"] = f"""
+SELECT printf('| %s | %s | %d | %.2f | %d | %.2f | %s |', p."column", COALESCE(t.dtype, 'string'), p.n_missing, p.pct_missing, p.n_zeros, p.pct_zeros,
+              array_to_string(string_split(p.examples, ', ')[1:3], ', ')) AS line
+FROM ({_profile_sql()}) p LEFT JOIN (VALUES {types}) t(c, dtype) ON t.c = "column" """
+    q["stored_documents"] = with_ctes(*ALL_MASTER, doc_cte(), body="""
+SELECT d.id, d.source, d.pk, d.text, COALESCE(o.outlet_score, p.product_score) AS score, 384 AS dimensions
+FROM doc d LEFT JOIN master_outlet o ON d.tbl = 'outlet' AND d.pk = o.outlet_id LEFT JOIN master_product p ON d.tbl = 'product' AND d.pk = p.product_id""")
+    q["sanitize_values"] = """
+SELECT vec_id, x, label, x AS y, 't' AS z, x AS m0, 1.5::DOUBLE AS m1
+FROM (SELECT vec_id, label, CASE WHEN vec_id % 3 < 2 THEN 0.0 ELSE embedding[1]::DOUBLE END AS x FROM embeddings)"""
+    return q
+
+
 def _profile_sql() -> str:
     parts = []
     for table, cte, cols in PROFILE_LAYOUT:
@@ -554,7 +718,7 @@ FROM {cte}""")
 
 SELECTION_CTES = r"""
 fq AS (
-  SELECT i.q_id, i.query_type, i.entity, i.aggregate_type, i.comparison_entities, i.metrics, i.ranking_n, i.superlative,
+  SELECT i.q_id, i.query_type, i.entity, i.filter_city, i.aggregate_type, i.comparison_entities, i.metrics, i.ranking_n, i.superlative,
          CASE WHEN i.query_type = 'location' OR i.entity = 'outlet' THEN 'outlet' ELSE 'product' END AS tbl,
          lower(i.filter_city) AS f_city, lower(i.filter_category) AS f_cat,
          CASE WHEN i.price_min <> 0 THEN CAST(i.price_min AS DOUBLE) END AS pmin,

@@ -202,25 +202,71 @@ def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return mo.select("outlet_id", *masters.OUTLET_WEIGHTS, "outlet_score")
 
 
-def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
-    """H0-H8: the evidence rows of every question (rows-only check)."""
-    from storeline.operators import intents, retrieval, select
+def _evidence_of(spark: SparkSession, sf: str, without_products: bool = False) -> DataFrame:
+    from storeline.operators import intents, select
     from storeline.plans import answers
+    from storeline.session import cut_lineage
     from storeline.sources.questions import questions
     m = answers.build_masters(model_tables(spark, sf))
+    if without_products:
+        m |= {"mp": m["mp"].limit(0), "ep": m["ep"].limit(0)}
     qs = questions(spark, sf)
-    it = intents.parse(qs, m["eo"])
-    docs = retrieval.embed_text(retrieval.documents(m["mo"], m["mp"]), "text")
-    need = qs.join(it.where(F.col("query_type").isin(*answers.RETRIEVAL_TYPES)).select("q_id"), "q_id")
-    hits = retrieval.retrieve_for_questions(need, docs)
+    it = cut_lineage(intents.parse(qs, m["eo"]), "intents")
+    hits, _ = answers.retrieved(qs, it, m)
     ev, _ = select.evidence(it, m["eo"], m["ep"], hits)
-    return ev.select("q_id", "pos", "kind", "tbl", "pk")
+    return select.with_raw(ev, m)
+
+
+def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
+    """H0-H8: the evidence rows of every question, their score, and fields of the record behind each."""
+    ev = _evidence_of(spark, sf)
+    field = lambda *names: F.coalesce(*(F.col("raw")[n] for n in names))
+    return ev.select("q_id", "pos", "kind", "tbl", "pk", F.round("score", 6).alias("score"), F.when(F.col("raw").isNotNull(), F.size("raw")).cast("long").alias("n_fields"),
+                     field("outlet", "product_name").alias("name"), field("city", "category").alias("grp"),
+                     field("total_revenue", "revenue_total").alias("revenue"))
+
+
+def select_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a product master, questions about products are answered by the first five documents retrieved for them."""
+    return _evidence_of(spark, sf, without_products=True).where("kind = 'doc'").select(
+        "q_id", "pos", "tbl", "pk", F.round("score", 6).alias("score"))
+
+
+def retrieve_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth vector asked against all vectors, and against an index without documents."""
+    from storeline.operators import retrieval
+    from storeline.sources.testdata import read_table
+    e = read_table(spark, sf, "embeddings")
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("v"))
+    docs = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("v"))
+    out = None
+    for name, index in (("all", docs), ("none", docs.where("id is null"))):
+        hits = retrieval.or_placeholder(retrieval.cosine_topk(asked, index), asked, index)
+        one = hits.select(F.lit(name).alias("index"), "q_id", "id", "rank", F.round("score", 6).alias("score"),
+                          F.col("raw")["fallback"].alias("fallback"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as questions and the next turn as the reply; some questions are null, some ids repeat, some
+    replies are missing, and each of them is answered by its error."""
+    from storeline.plans import errors
+    from storeline.sources.questions import CONV_FACTOR
+    from storeline.sources.testdata import read_table
+    c = read_table(spark, sf, "conversations").select("conv_id", "role", "text", (F.col("conv_id") * CONV_FACTOR + F.col("turn")).alias("q_id"))
+    asked = c.where("role = 'user'").select("q_id", F.when(F.col("conv_id") % 11 != 3, F.col("text")).alias("question"))
+    again = c.where("role = 'user' and conv_id % 13 = 5").select("q_id", F.col("text").alias("question"))
+    good, failed = errors.quarantine(asked.unionByName(again))
+    replies = c.where("role = 'assistant'").select((F.col("q_id") - 1).alias("q_id"), F.to_json(F.struct(F.col("text").alias("content"))).alias("response"))
+    return errors.answer_texts(good.withColumn("error", F.lit(None).cast("string")).select("q_id", "error").unionByName(failed), replies)
 
 
 QUERIES.update({
     "extract_answer": extract_answer, "chat_messages": chat_messages, "profile_tables": profile_tables,
     "best_outlet": best_outlet, "best_product": best_product, "availability_flags": availability_flags,
-    "minmax_normalize": minmax_normalize, "evidence": evidence_table,
+    "minmax_normalize": minmax_normalize, "evidence": evidence_table, "select_fallback": select_fallback,
+    "retrieve_fallback": retrieve_fallback, "answer_texts": answer_texts,
 })
 FLAGSHIP = "answers"
 
@@ -286,3 +332,93 @@ def handle_analytical(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES.update({"filter_or_all": filter_or_all, "handle_ranking": handle_ranking, "handle_list": handle_list,
                 "handle_comparison": handle_comparison, "handle_aggregate": handle_aggregate, "handle_analytical": handle_analytical})
+
+
+#: Headers as the exports of the source system write them, by logical table: file name, and headers that differ from the model's.
+CSV_LAYOUT = {
+    "outlet": ("Outlet.csv", {"outlet_id": "Outlet ID"}),
+    "menu": ("menu.CSV", {"product_id": "ProductID", "product_name": "Product"}),
+    "outlet_menu": ("outlet_menu.csv", {"outlet_menu_id": "ID", "product_id": "ProductID", "outlet_id": "OutletID"}),
+    "order": ("order.csv", {"outlet_menu_id": " Outlet_Product(ID)", "customer_id": "Customer_ID(", "quantity": "Quantity(",
+                            "unit_price": "Unit Price", "date": "Date "}),
+    "promotion": ("promotion.csv", {}),
+    "employment": ("employment.csv", {"position_id": "Position"}),
+    "customer": ("customer_data.csv", {"customer_id": "Customer-ID", "note": "Note"}),
+}
+
+
+def csv_folder(spark: SparkSession, sf: str) -> str:
+    """A folder of CSV exports of the model tables, and of the documents as customers' notes (quotes, line ends), below the
+    shared checkpoint folder."""
+    import uuid
+
+    from storeline.session import ensure_checkpoint_dir
+    from storeline.sources.testdata import read_table
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    t = model_tables(spark, sf)
+    notes = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("customer_id"), F.col("text").alias("note"))
+    for name, (file, renames) in CSV_LAYOUT.items():
+        df = notes if name == "customer" else t[name]
+        # the writer's own trimming off, quotes doubled
+        named = df.select(*(F.col(c).alias(renames.get(c, c)) for c in df.columns))
+        named.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{file}")
+    return folder
+
+
+def load_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of CSV exports, loaded and normalised: rows, missing values and examples of every column."""
+    from storeline.operators import profile
+    from storeline.sources import csv_tables
+    loaded = csv_tables.load_tables(spark, csv_folder(spark, sf))
+    p = profile.profile_tables(loaded, [n for n in CSV_LAYOUT if n != "customer"])
+    notes = loaded["customer"].agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("note").isNull()).alias("n_missing"),
+                                   F.sum(F.length("note")).cast("string").alias("examples"))
+    return p.select("table", "column", "rows", "n_missing", F.array_join("examples", ", ").alias("examples")).unionByName(
+        notes.select(F.lit("customer").alias("table"), F.lit("note").alias("column"), "rows", "n_missing", "examples"))
+
+
+def _built(spark: SparkSession, sf: str) -> str:
+    """The outputs of the whole build over the model tables, committed below the shared checkpoint folder."""
+    import uuid
+
+    from storeline.plans import build
+    from storeline.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    t = model_tables(spark, sf)
+    build.build_from(spark, {n: t[n] for n in PROFILED}, folder)
+    return folder
+
+
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Build, commit, and read back what the newest manifest names: documents with their masters' scores."""
+    from storeline.sources import stored
+    folder = _built(spark, sf)
+    docs = stored.read_documents(spark, folder)
+    m = stored.read_masters(spark, folder, ["master_outlet", "master_product"])
+    scores = m["master_outlet"].select(F.lit("master_outlet").alias("source"), F.col("outlet_id").alias("pk"), F.col("outlet_score").alias("score")) \
+        .unionByName(m["master_product"].select(F.lit("master_product").alias("source"), F.col("product_id").alias("pk"), F.col("product_score").alias("score")))
+    size = stored.read_vectors(spark, folder).select("id", F.size("embedding").alias("dimensions"))
+    return docs.join(scores, ["source", "pk"]).join(size, "id").select("id", "source", "pk", "text", "score", "dimensions")
+
+
+def profile_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the data profile, as the build wrote them."""
+    from storeline.sources import stored
+    return stored.read_report(spark, _built(spark, sf)).select(F.col("value").alias("line"))
+
+
+def sanitize_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors nested in structs, arrays and maps, some numbers made infinite or NaN, with all of those as 0."""
+    from storeline.operators import retrieval
+    from storeline.sources.testdata import read_table
+    e = read_table(spark, sf, "embeddings")
+    bad = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 3 == 1, F.lit(float("-inf"))).otherwise(F.element_at("embedding", 1).cast("double"))
+    nested = e.select("vec_id", F.struct(bad.alias("x"), F.col("label"), F.array(F.struct(bad.alias("y"), F.lit("t").alias("z"))).alias("list"),
+                                         F.create_map(F.lit("k"), F.array(bad, F.lit(1.5))).alias("map")).alias("raw"))
+    clean = retrieval.sanitize_values(nested)
+    return clean.select("vec_id", F.col("raw.x").alias("x"), F.col("raw.label").alias("label"), F.col("raw.list")[0]["y"].alias("y"),
+                        F.col("raw.list")[0]["z"].alias("z"), F.col("raw.map")["k"][0].alias("m0"), F.col("raw.map")["k"][1].alias("m1"))
+
+
+QUERIES.update({"load_tables": load_tables, "stored_documents": stored_documents, "profile_report": profile_report, "sanitize_values": sanitize_values})

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeline.sources.split_csv import read_split
+
 # ---- fixed values: file stem -> logical table ---------------------------------------------
 TABLE_STEMS = {
     "menu": "menu", "outlet": "outlet", "outlet_menu": "outlet_menu", "daily_sales": "daily_sales",
@@ -47,7 +49,9 @@ def norm_columns(df: DataFrame) -> DataFrame:
 
 
 def list_csvs(spark: SparkSession, data_dir: str) -> dict[str, str]:
-    """Top-level files with a .csv suffix (any case), keyed by lower-case stem; last one wins."""
+    """Top-level entries with a .csv suffix (any case), keyed by lower-case stem; last one wins.
+
+    An entry is a file, or a folder of part files as Spark writes them."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(data_dir)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -56,15 +60,28 @@ def list_csvs(spark: SparkSession, data_dir: str) -> dict[str, str]:
         return out
     for st in sorted(fs.listStatus(path), key=lambda s: s.getPath().getName()):
         name = st.getPath().getName()
-        if st.isFile() and name.lower().endswith(".csv"):
+        if name.lower().endswith(".csv"):
             out[name[:-4].lower()] = st.getPath().toString()
     return out
 
 
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at ``path`` (a file, or a folder of files)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max((st.getLen() for st in fs.listStatus(where) if st.isFile()), default=0)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tolerant scan -- header row, quoted multi-line fields, malformed rows kept as NULLs."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    """Tolerant scan -- header row, quoted multi-line fields, malformed rows kept as NULLs.
+
+    Files of more than one split are read by ranges (``split_csv``), smaller ones by Spark's multi-line reader."""
+    whole = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+             .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if not whole.columns or largest_file(spark, path) <= split:
+        return whole
+    return read_split(spark, path, whole.columns)
 
 
 def standard_renames(name: str, df: DataFrame) -> DataFrame:

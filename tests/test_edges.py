@@ -103,7 +103,7 @@ def test_no_match_filter_falls_back(spark):
     it = spark.createDataFrame([(1, "show every store in Surat"), (2, "show every store in nowhere")],
                                "q_id long, question string")
     ints = intents.parse(it, eo)
-    ev, q, members = select.evidence(ints, eo, ep)
+    ev, _ = select.evidence(ints, eo, ep)
     rows = {}
     for r in ev.collect():
         rows.setdefault(r.q_id, []).append(r.pk)
