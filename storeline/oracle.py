@@ -591,8 +591,16 @@ SELECT q_id, id, CAST(rank AS INTEGER) AS rank, ROUND(sc, 6) AS score FROM (
     return {"documents": docs, "retrieve_topk": topk}
 
 
+# columns whose availability is told, by table
+FLAGS = [
+    ("availability_flags", "outlet", ["total_sales", "total_units_sold", "total_revenue", "unique_customers", "avg_employee_rating",
+                                      "total_promotion_cost", "avg_transportation_cost", "total_reviews", "avg_quality_score"]),
+    ("availability_flags_product", "product", ["units_sold_total", "revenue_total", "num_outlets_selling", "total_reviews", "avg_quality_score",
+                                               "avg_sentiment_signal", "total_profit"]),
+]
+
+
 def _misc_sql() -> dict[str, str]:
-    from storeline.operators.masters import OUTLET_FLAG_COLUMNS
     q: dict[str, str] = {}
     q["extract_answer"] = r"""
 SELECT conv_id, turn,
@@ -600,7 +608,9 @@ SELECT conv_id, turn,
 FROM conversations WHERE role = 'assistant'"""
     q["chat_messages"] = """
 SELECT conv_id, COUNT(*) AS n_messages, string_agg(COALESCE(role, 'user'), ',' ORDER BY turn) AS roles,
-       CAST(SUM(length(COALESCE(text, ''))) AS BIGINT) AS content_chars
+       CAST(SUM(length(COALESCE(text, ''))) AS BIGINT) AS content_chars,
+       sha256(string_agg(COALESCE(role, 'user') || chr(10) || COALESCE(text, '') || chr(10), ''
+                         ORDER BY turn, COALESCE(role, 'user'), COALESCE(text, ''))) AS messages_sha256
 FROM conversations GROUP BY conv_id"""
     q["best_outlet"] = with_ctes(*ALL_ENRICH, body="""
 SELECT b.outlet, b.city, b.score, b.revenue,
@@ -617,8 +627,9 @@ FROM (SELECT 1 AS one) x LEFT JOIN (
   SELECT product_name AS product, category, performance_score AS score, revenue_total AS revenue, TRUE AS found
   FROM e_product WHERE regexp_matches(category, '(?i)promo')
   ORDER BY performance_score DESC, product_id LIMIT 1) b ON TRUE""")
-    flags = ", ".join(f"({c} IS NOT NULL AND {c} <> 0) AS {c}_available" for c in OUTLET_FLAG_COLUMNS)
-    q["availability_flags"] = with_ctes(*ALL_MASTER, body=f"SELECT outlet_id, {flags} FROM master_outlet")
+    for key, table, columns in FLAGS:
+        flags = ", ".join(f"({c} IS NOT NULL AND {c} <> 0) AS {c}_available" for c in columns)
+        q[key] = with_ctes(*ALL_MASTER, body=f"SELECT {table}_id, {flags} FROM master_{table}")
     q["minmax_normalize"] = with_ctes(*ALL_MASTER, body="""
 SELECT outlet_id,
   CASE WHEN r1 = r0 THEN 0.0 ELSE (total_revenue - r0) / (r1 - r0) END AS norm_revenue,
@@ -785,7 +796,7 @@ SELECT q_id, CAST(pos AS INTEGER) AS pos, tbl, pk FROM (
   FROM eff e JOIN eff_rows r ON e.q_id = r.q_id
   WHERE e.query_type = 'comparison' AND e.q_id NOT IN (SELECT q_id FROM hits))
 WHERE pos <= 2""")
-    q["handle_aggregate"] = with_ctes(*blocks, body="""
+    aggregates = """
 SELECT e.q_id, e.tbl, e.aggregate_type AS agg_type,
        CASE WHEN e.aggregate_type = 'count' THEN COUNT(*) END AS count,
        CASE WHEN e.aggregate_type = 'count' THEN e.entity END AS entity_type,
@@ -795,7 +806,17 @@ SELECT e.q_id, e.tbl, e.aggregate_type AS agg_type,
        CASE WHEN e.aggregate_type = 'average' THEN round_even(SUM(CAST(r.revenue AS DECIMAL(38,4)))::DOUBLE / COUNT(r.revenue), 2) END AS average_revenue,
        CASE WHEN e.aggregate_type = 'median' AND e.priced THEN round_even(MEDIAN(CAST(r.price AS DOUBLE)), 2) END AS median_price
 FROM (SELECT *, contains(',' || metrics || ',', ',price,') AND tbl = 'product' AS priced FROM eff) e JOIN eff_rows r ON e.q_id = r.q_id
-WHERE e.query_type = 'aggregate' GROUP BY e.q_id, e.tbl, e.aggregate_type, e.entity, e.priced""")
+WHERE e.query_type = 'aggregate' GROUP BY e.q_id, e.tbl, e.aggregate_type, e.entity, e.priced"""
+    q["handle_aggregate"] = with_ctes(*blocks, body=aggregates)
+    grouped = "format('{{:,}}', CAST(trunc({c}) AS BIGINT)) || regexp_extract(CAST({c} AS VARCHAR), '\\.[0-9]+$')"
+    q["build_prompt"] = with_ctes(*blocks, f"aggs AS ({aggregates})", body=f"""
+SELECT a.q_id, 'user' AS role, 'Question: ' || COALESCE(s.question, '') || chr(10) || chr(10) || concat_ws(chr(10), 'AGGREGATE RESULTS:',
+       'Count: ' || format('{{:,}}', a.count), 'Entity Type: ' || a.entity_type,
+       'Total Revenue: ₹' || format('{{:,}}', a.total_revenue), 'Total Units: ' || format('{{:,}}', a.total_units),
+       'Average Price: ' || {grouped.format(c="a.average_price")}, 'Average Revenue: ₹' || format('{{:,.0f}}', a.average_revenue),
+       'Median Price: ' || {grouped.format(c="a.median_price")})
+       || chr(10) || chr(10) || 'Provide a clear, accurate answer based ONLY on the data above.' AS content
+FROM aggs a JOIN qs s USING (q_id)""")
     q["handle_analytical"] = with_ctes(*blocks, body="""
 SELECT e.q_id, 0 AS pos, 'summary' AS kind, e.tbl, CAST(NULL AS VARCHAR) AS pk,
        round_even(AVG(r.perf), 2) AS avg_performance, round_even(STDDEV_SAMP(r.perf), 2) AS std_performance

@@ -50,8 +50,6 @@ def answers(questions: DataFrame, m: dict[str, DataFrame], k: int = retrieval.DE
         failed = failed.unionByName(same.join(unread.withColumnRenamed("q_id", "first_id"), "first_id").select("q_id", "error"))
         it = it.join(unread, "q_id", "left_anti")
     ev, sel = select.evidence(it, m["eo"], m["ep"], hits)
-    if persist:
-        ev = cut_lineage(ev, "evidence")  # read for its keys, its counts and its blocks
     summaries = select.summary_records(sel)
     ctx = context.contexts(it, ev, m["eo"], m["ep"], m["mo"], m["mp"], summaries)
     out = (it.select("q_id", "query_type").join(ctx, "q_id")

@@ -167,7 +167,9 @@ def chat_messages(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("conv_id", F.size("messages").alias("n_messages"),
                     F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
                     F.aggregate("messages", F.lit(0).cast("bigint"),
-                                lambda acc, x: acc + F.length(x["content"])).alias("content_chars"))
+                                lambda acc, x: acc + F.length(x["content"])).alias("content_chars"),
+                    F.sha2(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("\n"), x["content"], F.lit("\n"))), "")
+                           .cast("binary"), 256).alias("messages_sha256"))
 
 
 PROFILED = ["outlet", "menu", "outlet_menu", "order", "daily_sales", "review", "food_quality", "transportation",
@@ -197,6 +199,11 @@ def availability_flags(spark: SparkSession, sf: str) -> DataFrame:
         "outlet_id", *[f"{c}_available" for c in masters.OUTLET_FLAG_COLUMNS])
 
 
+def availability_flags_product(spark: SparkSession, sf: str) -> DataFrame:
+    return masters.availability_flags(master_product(spark, sf), masters.PRODUCT_FLAG_COLUMNS).select(
+        "product_id", *[f"{c}_available" for c in masters.PRODUCT_FLAG_COLUMNS])
+
+
 def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
     mo = masters.master_outlet(model_tables(spark, sf), keep_components=True)
     return mo.select("outlet_id", *masters.OUTLET_WEIGHTS, "outlet_score")
@@ -265,6 +272,7 @@ def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES.update({
     "extract_answer": extract_answer, "chat_messages": chat_messages, "profile_tables": profile_tables,
     "best_outlet": best_outlet, "best_product": best_product, "availability_flags": availability_flags,
+    "availability_flags_product": availability_flags_product,
     "minmax_normalize": minmax_normalize, "evidence": evidence_table, "select_fallback": select_fallback,
     "retrieve_fallback": retrieve_fallback, "answer_texts": answer_texts,
 })
@@ -319,6 +327,18 @@ def handle_aggregate(spark: SparkSession, sf: str) -> DataFrame:
                                                    "average_price", "average_revenue", "median_price")
 
 
+def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """The prompt of every aggregate question: its text, its result lines and the closing request."""
+    from storeline.operators import context, select
+    from storeline.sources.questions import questions
+    m, it = _selection_inputs(spark, sf)
+    asked = it.where(F.col("query_type") == "aggregate")
+    ev, sel = select.evidence(asked, m["eo"], m["ep"], None)
+    ctx = context.contexts(asked, ev, m["eo"], m["ep"], m["mo"], m["mp"], select.summary_records(sel))
+    both = ctx.join(questions(spark, sf), "q_id").select("q_id", context.messages(F.col("question"), F.col("context")).alias("messages"))
+    return both.select("q_id", F.col("messages")[1]["role"].alias("role"), F.col("messages")[1]["content"].alias("content"))
+
+
 def handle_analytical(spark: SparkSession, sf: str) -> DataFrame:
     """The summary of every analytical question in front (pos 0), then its top performers."""
     from storeline.operators import select
@@ -331,7 +351,8 @@ def handle_analytical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES.update({"filter_or_all": filter_or_all, "handle_ranking": handle_ranking, "handle_list": handle_list,
-                "handle_comparison": handle_comparison, "handle_aggregate": handle_aggregate, "handle_analytical": handle_analytical})
+                "handle_comparison": handle_comparison, "handle_aggregate": handle_aggregate, "handle_analytical": handle_analytical,
+                "build_prompt": build_prompt})
 
 
 #: Headers as the exports of the source system write them, by logical table: file name, and headers that differ from the model's.
