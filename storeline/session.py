@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,7 +70,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def used_up(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that cut_lineage wrote inside, but for those written with ``keep``.
+
+    For steps whose result is a kept table of its own: no plan reads the others any more."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut_lineage(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """Write ``df`` once as a parquet table under the shared checkpoint folder and read it back.
 
     The folder is the one the session names (``spark.checkpoint.dir``), never a
@@ -79,5 +102,7 @@ def cut_lineage(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    if not keep and _scope.get() is not None:
+        _scope.get().append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
