@@ -205,9 +205,12 @@ def edits(a: str, b: str) -> int:
 
 
 def plain_lines(docs):
+    """Occurrences (rank of the document, id, text, line, key) and the group of each key; key: the normalised line, or a short one as it stands."""
     normal = lambda s: re.sub(r"[^\w]+|_+", " ", re.sub("[0-9]+", "0", s.lower())).strip(" ")
-    occurrences = [((i is None, i if i is not None else 0), i, t, k, normal(line)) for i, t in docs if t is not None for k, line in enumerate(t.split("\n"))]
-    norms = sorted({o[4] for o in occurrences if len(o[4]) >= 8})
+    key = lambda s: n if len(n := normal(s)) >= 8 else ("short", s.strip(" \t\n\x0b\f\r")) if n else None
+    text_key = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    occurrences = [((i is None, i or 0, text_key(t)), i, t, k, key(line)) for i, t in docs if t is not None for k, line in enumerate(t.split("\n"))]
+    norms = sorted({o[4] for o in occurrences if isinstance(o[4], str)})
     fps = [line_simhash(n) for n in norms]
 
     def linked(i, j):
@@ -217,22 +220,37 @@ def plain_lines(docs):
         return edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
 
     group = dict(zip(norms, groups(len(norms), linked)))
+    group |= {o[4]: o[4] for o in occurrences if isinstance(o[4], tuple)}
     return occurrences, group
 
 
-def test_line_dedup(spark, nothing):
-    docs = [(i, t) for i, t in corpus() if i != 79 and i != 80 and i != 89 and i is not None]
-    docs += [(200 + k, f"this is a boiler plate line that stands in document number {k} of the whole set of texts and is long enough to be "
-              f"near to its kin {'alpha' if k % 3 else 'beta'}") for k in range(9)]
+def plain_dedup(docs):
+    """(id, text that stays) of every document, and how many lines it has and loses."""
     occurrences, group = plain_lines(docs)
-    best = {}
+    best, keep = {}, defaultdict(dict)
     for rank, i, t, k, n in occurrences:
         if n in group:
             best[group[n]] = min(best.get(group[n], (rank, k)), (rank, k))
-    lines = defaultdict(dict)
     for rank, i, t, k, n in occurrences:
-        lines[i, t][k] = n not in group or best[group[n]] == (rank, k)
-    want = sorted(((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if lines[i, t][k])) for i, t in docs), key=repr)
+        keep[i, t][k] = n not in group or best[group[n]] == (rank, k)
+    out = []
+    for i, t in docs:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for k, x in enumerate(lines) if keep[i, t][k]]
+        out.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def line_documents():
+    docs = corpus()
+    docs += [(200 + k, f"this is a boiler plate line that stands in document number {k} of the whole set of texts and is long enough to be "
+              f"near to its kin {'alpha' if k % 3 else 'beta'}") for k in range(9)]
+    return docs + [(300 + k, f"Menu\n}}\n\n {k % 2}\t\nmenu\nown line of document {'abcdefgh'[k] * 9}") for k in range(5)]
+
+
+def test_line_dedup(spark, nothing):
+    docs = line_documents()
+    want = sorted(((i, t) for i, t, _, _ in plain_dedup(docs)), key=repr)
     table = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, node long").repartition(3)
     got = line_dedup.dedup_lines(table)
     assert got.columns == table.columns
