@@ -8,7 +8,8 @@ the one piece whose merge order is compatible with the piece before it, which is
 unit in rank order leaves. Characters that no piece covers fall back to bytes (or to the unknown piece).
 
 Units are independent because no piece of the model goes on behind white space that follows other text, which is checked
-when the model is opened; so are line ends that no piece contains. Runs of white space, whose pieces share one score, are
+when the model is opened; so are line ends that no piece contains, and the parts of a unit between two characters that no
+piece holds side by side (a word and the comma behind it), so equal parts are indexed once. Runs of white space, whose pieces share one score, are
 merged on their own by the library's order (leftmost first).
 
 Cases: null text encodes as empty (no pieces) and decodes to empty text; texts of white space, of characters unknown to
@@ -22,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from storeline.llm.common import slices
 
 SPACE = "▁"
-#: Distinct units a worker remembers, characters indexed at a time (memory bounds; never change a result).
-REMEMBERED, INDEXED = 300_000, 1 << 17
+#: Distinct units a worker remembers and their characters, characters split and indexed at a time (memory bounds; never
+#: change a result).
+REMEMBERED, HELD, SPLIT, INDEXED = 500_000, 8 << 20, 1 << 20, 1 << 18
 UNITS = re.compile(" *[^ \n]+| +|\n").findall
 NO_MERGE = 1 << 40
 
@@ -70,6 +73,11 @@ class PieceModel:
         for i, p in enumerate(words):
             chars[i, :len(p)] = [self.dense[c] for c in p]
         self.chars = chars
+        #: which two characters stand side by side in some piece
+        self.inner = np.zeros((len(self.dense) + 1,) * 2, bool)
+        for p in words:
+            for c, d in zip(p, p[1:]):
+                self.inner[self.dense[c], self.dense[d]] = True
         if kind == "bpe":
             self.order()
 
@@ -176,17 +184,35 @@ class PieceModel:
         place = sa[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
         return place, piece
 
+    def split(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """Parts of all units one behind the other, and where each unit's begin: cut between characters that no piece holds side by
+        side, where neither an edge nor a merge can go across."""
+        size = np.array([len(u) for u in units], np.int64)
+        joined = "".join(units)
+        text = self.dense_text(joined)
+        border = np.ones(len(text) + 1, bool)
+        border[1:-1] = ~self.inner[text[:-1], text[1:]]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        border[begin] = True
+        cuts = np.flatnonzero(border)
+        at = np.searchsorted(cuts, begin).tolist()
+        cuts = cuts.tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])], at
+
+    def dense_text(self, joined: str) -> np.ndarray:
+        """Dense numbers of the characters; 0 for those without a piece."""
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen, back = np.unique(codes, return_inverse=True)
+        get = self.dense.get
+        return np.array([get(chr(c), 0) if c else 0 for c in seen.tolist()], np.int64)[back]
+
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all units one behind the other, and where each unit's begin; a unit has no white space but one sign at
         its start at most."""
         size = np.array([len(u) for u in units], np.int64)
         begin = np.concatenate([[0], np.cumsum(size + 1)])
-        get = self.dense.get
-        text = np.zeros(begin[-1], np.int64)
         joined = "\0".join(units) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        seen, back = np.unique(codes, return_inverse=True)
-        text[:] = np.array([0 if c == 0 else get(chr(c), 0) for c in seen.tolist()], np.int64)[back]
+        text = self.dense_text(joined)
         place, piece = self.occurrences(text)
         ids = self.words[piece]
         if self.kind == "bpe":
@@ -296,52 +322,69 @@ def first_not(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray
     return lo
 
 
+def chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """``texts`` cut into lists of at most ``chars`` characters (one text at least)."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + chars, side="right")))
+        yield texts[at:to]
+        at = to
+
+
 class Encoder:
-    """Encodes batches of texts; remembers units."""
+    """Encodes batches of texts; remembers units and their parts."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.parts, self.held = model, {}, {}, 0
 
     def learn(self, units: set[str]) -> None:
-        fresh, size = [], 0
-        if len(self.known) + len(units) > REMEMBERED:
+        fresh = [u for u in units if u not in self.known]
+        size = sum(map(len, fresh))
+        if len(self.known) + len(fresh) > REMEMBERED or self.held + size > HELD:
             self.known.clear()
-        for unit in units:
-            if unit not in self.known:
-                fresh.append(unit)
-                size += len(unit)
-                if size > INDEXED:
-                    self.take(fresh)
-                    fresh, size = [], 0
-        if fresh:
-            self.take(fresh)
+            self.parts.clear()
+            fresh = list(units)
+            self.held = size = sum(map(len, fresh))
+        else:
+            self.held += size
+        for some in chunks(fresh, SPLIT):
+            self.take(some)
+
+    def index(self, parts: list[str]) -> None:
+        """Encodes parts that are not known yet, INDEXED characters at a time."""
+        for some in chunks(parts, INDEXED):
+            flat, cut = self.model.encode_units(some)
+            data, cut = flat.tobytes(), (4 * cut).tolist()
+            self.parts.update(zip(some, [data[a:b] for a, b in zip(cut, cut[1:])]))
 
     def take(self, units: list[str]) -> None:
         m = self.model
-        cores, spaces = [], []
-        for u in units:
-            core = u.lstrip(" ")
-            k = len(u) - len(core)
-            spaces.append(k)
-            cores.append((SPACE if k else "") + core if core else "")
-        flat, cut = m.encode_units(cores)
-        data, cut = flat.tobytes(), (4 * cut).tolist()
+        cores = [u.lstrip(" ") for u in units]
+        spaces = [len(u) - len(c) for u, c in zip(units, cores)]
+        cores = [SPACE + c if k and c else c for k, c in zip(spaces, cores)]
+        parts, cut = m.split(cores)
+        self.index([p for p in dict.fromkeys(parts) if p not in self.parts])
+        coded = list(map(self.parts.__getitem__, parts))
         sign = np.int32(m.ids.get(SPACE, -1)).tobytes()
-        for u, k, core, a, b in zip(units, spaces, cores, cut, cut[1:]):
-            ids = data[a:b]
-            if not core:
-                ids = m.run_bytes(k)
-            elif k and ids[:4] == sign:
-                ids = m.run_bytes(k) + ids[4:]  # the sign before the word has joined nothing: it is one of the run
-            elif k > 1:
-                ids = m.run_bytes(k - 1) + ids
-            self.known[u] = ids
+        ids = [coded[a] if b - a == 1 else b"".join(coded[a:b]) for a, b in zip(cut, cut[1:])]
+        self.known.update(zip(units, ids))
+        for i, k in enumerate(spaces):
+            if k > 1 or k and not cores[i]:
+                if not cores[i]:
+                    whole = m.run_bytes(k)
+                elif ids[i][:4] == sign:
+                    whole = m.run_bytes(k) + ids[i][4:]  # the sign before the word has joined nothing: it is one of the run
+                else:
+                    whole = m.run_bytes(k - 1) + ids[i]
+                self.known[units[i]] = whole
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 512):
             cut = [UNITS(" " + t.replace(SPACE, " ")) if t else [] for t in texts[at:at + 512]]
-            self.learn({u for units in cut for u in units})
+            self.learn(set(chain.from_iterable(cut)))
             out += [np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32) for units in cut]
         return out
 
