@@ -1,6 +1,6 @@
 """Substring dedup: passages that already stand in an earlier document are cut, found with FM-indexes per shard.
 
-Documents are cut into slices of bounded size. Every window of ``window`` words belongs to the shard of its minimiser (the
+Documents are cut into slices of bounded size, stored with the places of their segments. Every window of ``window`` words belongs to the shard of its minimiser (the
 word triple of least hash in it), so equal windows meet in one shard and no shard has to be compared with another; runs of
 windows with one minimiser travel together as a segment, equal segments of a slice once, with the smallest and largest
 doc_id they stand in. A shard indexes the segments whose minimiser occurs in more than one document: suffix array,
@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SLICE_BYTES = 8 << 20
 #: Text bytes whose segments a shard should hold at most, and the least number of shards.
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 REMEMBERED = 400_000
+#: Of compression: what is stored and shuffled is mostly text.
+LEVEL = 3
 
 
 class _Hashes(dict):
@@ -54,53 +57,82 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-class Segments:
-    """The segments of a slice of documents: runs of windows that share a minimiser."""
-
-    def __init__(self, texts: list[bytes], has_id: np.ndarray, window: int):
-        words = [t.split() if ok else [] for t, ok in zip(texts, has_id)]
-        size = np.array([len(w) for w in words], np.int64)
-        flat = [w for ws in words for w in ws]
-        n = len(flat)
-        self.doc_start = np.concatenate([[0], np.cumsum(size)])
-        self.start = self.end = self.doc = self.content = np.zeros(0, np.int64)
-        self.texts: list[bytes] = []
-        self.minimiser = np.zeros(0, np.uint64)
-        if n < window:
-            return
-        h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, n)
-        gram = np.zeros(n, np.uint64)
-        for j in range(GRAM):
-            gram[:n - j] += h[j:] * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59B)
-        gram = xor_fold(gram)
-        low, span, count = np.uint64(4095), window - GRAM + 1, n - window + 1
-        least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
-        for j in range(span):  # least triple of each window, leftmost on ties
-            np.minimum(least, (gram[j:j + count] & ~low) | np.uint64(j), out=least)
-        doc = np.repeat(np.arange(len(size)), size)
-        at = np.flatnonzero(doc[:count] == doc[window - 1:])
-        if not len(at):
-            return
-        least = least[at]
-        place = at + (least & low).astype(np.int64)
-        fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
-        heads = np.flatnonzero(fresh)
-        self.start = at[heads]
-        self.end = at[np.concatenate([heads[1:], [len(at)]]) - 1] + window
-        self.doc = doc[self.start]
-        self.minimiser = least[heads] >> np.uint64(12)
-        joined = b" ".join(flat)
-        offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, n) + 1)])
-        number: dict[bytes, int] = {}
-        self.content = np.fromiter(
-            (number.setdefault(joined[a:b], len(number)) for a, b in zip(offset[self.start].tolist(), (offset[self.end] - 1).tolist())),
-            np.int64, len(heads))
-        self.texts = list(number)
+def segments(texts: list[bytes], has_id: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of a slice of documents, runs of windows that share a minimiser: first word (counted through the slice), words,
+    content (numbered as they come; equal texts have one number), and the minimiser of each content (44 bits)."""
+    words = [t.split() for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    flat = [w for ws in words for w in ws]
+    n, none = len(flat), np.zeros(0, np.int64)
+    if n < window:
+        return none, none, none, none
+    h = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, n)
+    gram = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        gram[:n - j] += h[j:] * np.uint64(0x9E3779B97F4A7C15 + 2 * j * 0x632BE59B)
+    gram = xor_fold(gram)
+    low, span, count = np.uint64(4095), window - GRAM + 1, n - window + 1
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    for j in range(span):  # least triple of each window, leftmost on ties
+        np.minimum(least, (gram[j:j + count] & ~low) | np.uint64(j), out=least)
+    doc = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero((doc[:count] == doc[window - 1:]) & has_id[doc[:count]])
+    if not len(at):
+        return none, none, none, none
+    least = least[at]
+    place = at + (least & low).astype(np.int64)
+    fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
+    heads = np.flatnonzero(fresh)
+    start = at[heads]
+    end = at[np.concatenate([heads[1:], [len(at)]]) - 1] + window
+    text = b"\n".join(texts)
+    begins, ends = word_bytes(text)
+    number: dict[bytes, int] = {}
+    content = np.fromiter((number.setdefault(text[x:y], len(number)) for x, y in zip(begins[start].tolist(), ends[end - 1].tolist())),
+                          np.int64, len(heads))
+    return start, end - start, content, (least[heads][first_places(content)] >> np.uint64(20)).astype(np.int64)
+
+
+def word_bytes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end; they are parted by blanks and line ends only."""
+    gap = np.frombuffer(b" " + text + b" ", np.uint8)
+    gap = (gap == 32) | (gap == 10)
+    return np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+
+
+def first_places(content: np.ndarray) -> np.ndarray:
+    """Where each number comes first, for numbers given out as they come."""
+    return np.flatnonzero(np.diff(np.maximum.accumulate(content), prepend=-1) > 0)
+
+
+class Slice:
+    """A stored slice of documents: ids, whole texts (words joined by one blank) and segments; their lengths and minimisers stand
+    apart, as only the deal needs them."""
+
+    def __init__(self, blob: bytes, marks: bytes | None = None):
+        (self.ids, no_id, self.keys, start, content), self.text = unpack(blob)
+        self.length, self.minimiser = unpack(marks)[0] if marks else (None, None)
+        self.has_id, self.start, self.content = no_id == 0, np.cumsum(start), np.cumsum(content)
+        self.texts = self.text.split(b"\n")
+        self.doc_start = np.cumsum([0, *(t.count(b" ") + 1 if t else 0 for t in self.texts)])
+        self.doc = np.searchsorted(self.doc_start, self.start, side="right") - 1
+
+    @staticmethod
+    def stored(ids: np.ndarray, no_id: np.ndarray, keys: np.ndarray, texts: list[bytes], window: int) -> tuple[bytes, bytes]:
+        start, length, content, minimiser = segments(texts, ~no_id, window)
+        return pack(ids, no_id, keys, np.diff(start, prepend=0), np.diff(content, prepend=0), text=b"\n".join(texts)), pack(length, minimiser)
+
+    def segment_texts(self) -> list[bytes]:
+        """The text of every content."""
+        first = first_places(self.content)
+        begins, ends = word_bytes(self.text)
+        a, b = begins[self.start[first]], ends[self.start[first] + self.length[first] - 1]
+        return [self.text[x:y] for x, y in zip(a.tolist(), b.tolist())]
 
 
 def pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.astype(np.int64).tobytes() for a in arrays) + text)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.astype(np.int64).tobytes() for a in arrays) + text)
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -188,7 +220,8 @@ def match_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     """Findings of one shard by slice: (content, offset of the window in it, smallest doc_id that has the window)."""
     parts = [(s, *unpack(b)) for s, b in blobs]
     minimiser = np.concatenate([a[0] for _, a, _ in parts])
-    first, last = (np.concatenate([a[k] for _, a, _ in parts]) for k in (1, 2))
+    first = np.concatenate([np.cumsum(a[1]) for _, a, _ in parts])
+    last = first + np.concatenate([a[2] for _, a, _ in parts])
     _, group = np.unique(minimiser, return_inverse=True)
     least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(least, group, first)
@@ -196,34 +229,33 @@ def match_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     chosen = (least < most)[group]  # its minimiser occurs in more than one document
     if not chosen.any():
         return []
-    number: dict[bytes, int] = {}
     by_text: dict[bytes, int] = {}
-    members, texts_first = [], []  # equal segments of several slices are indexed once
-    flat, starts, seg_of = [], [], []
+    flat, sizes, member_of = [], [], []  # equal segments of several slices are indexed once
     at = 0
     for _, a, text in parts:
-        lines = text.split(b"\n")
-        for k in np.flatnonzero(chosen[at:at + len(a[0])]).tolist():
-            line, me = lines[k], at + k
-            i = by_text.setdefault(line, len(members))
-            if i == len(members):
-                members.append([])
-                texts_first.append(first[me])
+        for line in compress(text.split(b"\n"), chosen[at:at + len(a[0])].tolist()):
+            i = by_text.setdefault(line, len(sizes))
+            if i == len(sizes):
                 ws = line.split(b" ")
-                starts.append(np.arange(len(flat), len(flat) + len(ws) - window + 1))
-                seg_of.append(np.full(len(ws) + 1, i))
-                flat += [number.setdefault(w, len(number) + 1) for w in ws]
-                flat.append(0)
-            members[i].append(me)
-            texts_first[i] = min(texts_first[i], first[me])
+                sizes.append(len(ws) + 1)
+                flat += ws
+                flat.append(b"")
+            member_of.append(i)
         at += len(a[0])
-    words, seg_of = np.array(flat, np.int64), np.concatenate(seg_of)
-    seg_start = np.concatenate([[0], np.cumsum(np.bincount(seg_of))])
-    doc_of = np.array(texts_first, np.int64)[seg_of]
-    single = np.array([len(m) == 1 for m in members])
-    own_first, own_last = np.array([min(first[m].min(), x) for m, x in zip(members, texts_first)], np.int64), np.array([last[m].max() for m in members], np.int64)
+    number = {b"": 0}
+    words = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+    del flat, by_text
+    sizes = np.array(sizes, np.int64)
+    seg_of = np.repeat(np.arange(len(sizes)), sizes)
+    seg_start = np.cumsum(sizes) - sizes
+    member_of, flat_members = np.array(member_of, np.int64), np.flatnonzero(chosen)
+    own_first, own_last = np.full(len(sizes), np.iinfo(np.int64).max), np.full(len(sizes), np.iinfo(np.int64).min)
+    np.minimum.at(own_first, member_of, first[flat_members])
+    np.maximum.at(own_last, member_of, last[flat_members])
+    doc_of = own_first[seg_of]
     found_seg, found_off, found_doc = [], [], []
-    starts = np.concatenate(starts)
+    left = np.repeat(seg_start + sizes, sizes) - np.arange(len(words))
+    starts = np.flatnonzero(left > window)  # of whole windows: so many words and the sign behind the segment are left
     seen = np.zeros(len(words), bool)
     for sa, (live, lo, hi) in repeated_windows(words, starts, window):
         ranges, which = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True)
@@ -242,9 +274,9 @@ def match_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     s, off, small = s[keep], off[keep], small[keep]
     # back to the slices: every member of a segment that has a later document than the window's first
     slice_no = np.repeat(np.arange(len(parts)), [len(a[0]) for _, a, _ in parts])
-    content = np.concatenate([a[3] for _, a, _ in parts])
-    counts = np.array([len(m) for m in members])
-    flat_members = np.concatenate([np.array(m, np.int64) for m in members])
+    content = np.concatenate([np.cumsum(a[3]) for _, a, _ in parts])
+    counts = np.bincount(member_of, minlength=len(sizes))
+    flat_members = flat_members[np.argsort(member_of, kind="stable")]
     begin = np.cumsum(counts) - counts
     rep = counts[s]
     who = flat_members[np.repeat(begin[s], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)]
@@ -255,29 +287,26 @@ def match_shard(blobs: list[tuple[int, bytes]], window: int) -> list[tuple[int,
     return [(parts[k][0], pack(content[who[to == k]], off[to == k], small[to == k])) for k in np.unique(to).tolist()]
 
 
-def cut_slice(texts: list[bytes], ids: np.ndarray, has_id: np.ndarray, findings: list[bytes], window: int) -> list[tuple[int, int, bytes]]:
+def cut_slice(mine: Slice, findings: list[bytes], window: int) -> list[tuple[int, int, bytes]]:
     """(words, words removed, kept text) of each document of a slice."""
-    segs = Segments(texts, has_id, window)
-    n = int(segs.doc_start[-1])
+    n = int(mine.doc_start[-1])
     edge = np.zeros(n + 1, np.int64)
-    if findings and len(segs.content):
+    if findings and len(mine.content):
         content, off, small = (np.concatenate(x) for x in zip(*(unpack(f)[0] for f in findings)))
-        by = np.argsort(segs.content, kind="stable")
-        bound = np.searchsorted(segs.content[by], np.arange(len(segs.texts) + 1))
+        by = np.argsort(mine.content, kind="stable")
+        bound = np.searchsorted(mine.content[by], np.arange(int(mine.content.max()) + 2))
         rep = (bound[1:] - bound[:-1])[content]
         seg = by[np.repeat(bound[content], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)]
         off, small = np.repeat(off, rep), np.repeat(small, rep)
-        hit = small < ids[segs.doc[seg]]
-        at = segs.start[seg[hit]] + off[hit]
+        hit = small < mine.ids[mine.doc[seg]]
+        at = mine.start[seg[hit]] + off[hit]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
     gone = np.cumsum(edge)[:n] > 0
     out = []
-    for text, ok, a, b in zip(texts, has_id, segs.doc_start[:-1].tolist(), segs.doc_start[1:].tolist()):
-        mine = gone[a:b]
-        cut = int(mine.sum())
-        words = text.split()
-        out.append((len(words), cut, b" ".join([w for w, g in zip(words, mine.tolist()) if not g] if cut else words)))
+    for text, a, b in zip(mine.texts, mine.doc_start[:-1].tolist(), mine.doc_start[1:].tolist()):
+        cut = int(np.count_nonzero(gone[a:b]))
+        out.append((b - a, cut, b" ".join(compress(text.split(b" "), (~gone[a:b]).tolist())) if cut else text))
     return out
 
 
@@ -289,40 +318,33 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
         for b in slices(batches, "body", SLICE_BYTES):
             ids = b.column("doc_id")
             texts = [b" ".join((x or b"").split()) for x in b.column("body").to_pylist()]
-            blob = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64),
-                        b.column("text_key").to_numpy(), text=b"\n".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([base | k], pa.int64()), pa.array([blob], pa.binary()),
-                                              pa.array([sum(map(len, texts))], pa.int64())], names=["slice", "blob", "bytes"])
+            blob, marks = Slice.stored(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column("text_key").to_numpy(),
+                                       texts, window)
+            yield pa.RecordBatch.from_arrays([pa.array([base | k], pa.int64()), pa.array([blob], pa.binary()), pa.array([marks], pa.binary()),
+                                              pa.array([sum(map(len, texts))], pa.int64())], names=["slice", "blob", "marks", "bytes"])
             k += 1
 
-    table = cut_lineage(keyed_bytes(docs, id_col, text_col).mapInArrow(sliced, "slice long, blob binary, bytes long"), "slices")
+    table = cut_lineage(keyed_bytes(docs, id_col, text_col).mapInArrow(sliced, "slice long, blob binary, marks binary, bytes long"), "slices")
     total = table.agg(F.sum("bytes")).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
 
-    def opened(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        (ids, no_id, keys), text = unpack(blob)
-        return text.split(b"\n"), ids, no_id == 0, keys
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for slice_no, blob in zip(b.column("slice").to_pylist(), b.column("blob").to_pylist()):
-                texts, ids, has_id, _ = opened(blob)
-                segs = Segments(texts, has_id, window)
-                if not segs.texts:
+            for slice_no, blob, marks in zip(*(b.column(c).to_pylist() for c in ("slice", "blob", "marks"))):
+                mine = Slice(blob, marks)
+                n = len(mine.minimiser)
+                if not n:
                     continue
-                n = len(segs.texts)
                 first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-                np.minimum.at(first, segs.content, ids[segs.doc])
-                np.maximum.at(last, segs.content, ids[segs.doc])
-                minimiser = np.zeros(n, np.uint64)
-                minimiser[segs.content] = segs.minimiser
-                to = (minimiser % np.uint64(shards)).astype(np.int64)
+                np.minimum.at(first, mine.content, mine.ids[mine.doc])
+                np.maximum.at(last, mine.content, mine.ids[mine.doc])
+                texts = mine.segment_texts()
+                to = mine.minimiser % shards
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(shards + 1))
                 for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                    mine = by[cuts[s]:cuts[s + 1]]
-                    packed = pack(minimiser[mine] >> np.uint64(16), first[mine], last[mine], mine,
-                                  text=b"\n".join([segs.texts[i] for i in mine.tolist()]))
+                    ours = by[cuts[s]:cuts[s + 1]]
+                    packed = pack(mine.minimiser[ours] // shards, np.diff(first[ours], prepend=0), last[ours] - first[ours], np.diff(ours, prepend=0), text=b"\n".join([texts[i] for i in ours.tolist()]))
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([slice_no], pa.int64()), pa.array([packed], pa.binary())],
                                                      names=["shard", "slice", "blob"])
 
@@ -333,16 +355,16 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     def cut(mine: pa.Table, found: pa.Table) -> pa.Table:
         out = {"doc_id": [], "text_key": [], "n_words": [], "n_removed": [], "kept": []}
         for blob in mine.column("blob").to_pylist():
-            texts, ids, has_id, keys = opened(blob)
-            done = cut_slice(texts, ids, has_id, found.column("blob").to_pylist(), window)
-            out["doc_id"] += [i if ok else None for i, ok in zip(ids.tolist(), has_id.tolist())]
-            out["text_key"] += keys.tolist()
+            own = Slice(blob)
+            done = cut_slice(own, found.column("blob").to_pylist(), window)
+            out["doc_id"] += [i if ok else None for i, ok in zip(own.ids.tolist(), own.has_id.tolist())]
+            out["text_key"] += own.keys.tolist()
             for name, values in zip(("n_words", "n_removed", "kept"), zip(*done)):
                 out[name] += values
         kinds = {"kept": pa.binary()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
-    shards_of = table.select("slice", "blob").mapInArrow(deal, "shard long, slice long, blob binary")
+    shards_of = table.select("slice", "blob", "marks").mapInArrow(deal, "shard long, slice long, blob binary")
     findings = shards_of.groupBy("shard").applyInArrow(match, "slice long, blob binary")
     out = table.select("slice", "blob").groupBy("slice").cogroup(findings.groupBy("slice")).applyInArrow(
         cut, "doc_id long, text_key long, n_words long, n_removed long, kept binary")
