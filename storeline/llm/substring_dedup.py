@@ -39,7 +39,7 @@ SLICE_BYTES = 8 << 20
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 REMEMBERED = 400_000
 #: Of compression: what is stored and shuffled is mostly text.
-LEVEL = 3
+LEVEL = 6
 
 
 class _Hashes(dict):
