@@ -1,6 +1,9 @@
-"""Steps whose cost has to grow with the input only."""
+"""Steps whose cost has to grow with the input only: facts read once, equal vectors scored once, blocks ranked in bounded memory."""
 
-from storeline.operators import facts, masters
+import numpy as np
+from pyspark.sql import functions as F
+
+from storeline.operators import facts, masters, retrieval
 from storeline.sources.fixtures import model_tables
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +31,23 @@ def test_quality_status_skips_nulls(spark):
          "food_quality": spark.createDataFrame([("m", 1.0, None), ("m", 2.0, None), ("m", 3.0, "b"), ("m", None, "a"), ("n", 4.0, None)],
                                                "outlet_menu_id string, total_stage double, quality_status string")}
     assert sorted(map(tuple, facts.quality_by_outlet(t).collect())) == [("o", 1.5, "a"), ("q", 4.0, None)]
+
+
+def test_block_topk_is_brute_force():
+    rng = np.random.default_rng(1)
+    for n, m, k in ((300, 20000, 5), (3, 4, 5), (10, 1026, 2000), (257, 9217, 7)):
+        q, d = rng.integers(-2, 3, (n, 6)) / 4, rng.integers(-2, 3, (m, 6)) / 4  # many equal scores
+        s = np.round(q @ d.T, retrieval.SCORE_DIGITS)
+        rows = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        qi, di, scores = retrieval.block_topk(q, d, k)
+        assert np.array_equal(di.reshape(n, -1), rows) and np.array_equal(scores, s[qi, di])
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    asked = []
+    exact = retrieval.cosine_topk
+    monkeypatch.setattr(retrieval, "cosine_topk", lambda q, d, k: asked.append(q.count()) or exact(q, d, k))
+    docs = spark.createDataFrame([("a", "s", "1", [1.0, 0.0]), ("b", "s", "2", [0.6, 0.8])], "id string, source string, pk string, embedding array<float>")
+    vectors = spark.range(6).select(F.col("id").alias("q_id"), F.when(F.col("id") < 5, F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")).alias("v"))
+    got = sorted((r.q_id, r.id, r["rank"]) for r in retrieval.hits_of(vectors, docs, 2).collect())
+    assert asked == [1] and got == [(q, i, r) for q in range(5) for i, r in (("a", 2), ("b", 1))]
