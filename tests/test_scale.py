@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from storeline.operators import facts, masters, retrieval
+from storeline.operators import approximate, facts, masters, retrieval
 from storeline.sources.fixtures import model_tables
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,25 @@ def test_equal_vectors_are_scored_once(spark, monkeypatch):
     vectors = spark.range(6).select(F.col("id").alias("q_id"), F.when(F.col("id") < 5, F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>")).alias("v"))
     got = sorted((r.q_id, r.id, r["rank"]) for r in retrieval.hits_of(vectors, docs, 2).collect())
     assert asked == [1] and got == [(q, i, r) for q in range(5) for i, r in (("a", 2), ("b", 1))]
+
+
+def test_a_query_travels_once_to_a_cell(spark, monkeypatch):
+    """With every bucket open, few rows meet the scoring step: not one for each bucket."""
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "id string, v array<double>")
+    queries = docs.select(F.col("id").cast("long").alias("q_id"), "v")
+    buckets = approximate.Buckets(approximate.random_planes(1, 6, 8), 6)  # 64 buckets, all open
+    plain = [sorted(map(tuple, x.withColumn("score", F.round("score", 8)).collect()))
+             for x in (retrieval.cosine_topk(queries, docs, 5), approximate.approximate_topk(queries, docs, buckets, 5),
+                       approximate.approximate_topk(queries, docs, buckets, 5, doc_block=40, query_block=50))]
+    assert plain[0] == plain[1] == plain[2]
+    monkeypatch.setattr(approximate, "_open_topk", lambda k: lambda q, d: q.assign(id="", score=float(len(q)))[["q_id", "id", "score"]].head(1))
+    assert approximate.approximate_topk(queries, docs, buckets, 5).select(F.max("score")).first()[0] == 300  # one cell, each query once
+
+
+def test_opened_are_the_probes():
+    buckets = approximate.Buckets(approximate.random_planes(2, 6, 8), 3)
+    vectors = np.random.default_rng(3).standard_normal((40, 8))
+    own, loose = buckets.opened(vectors)
+    for code in range(64):
+        assert np.array_equal(((own ^ code) & ~loose) == 0, (buckets.probes(vectors) == code).any(axis=2))
