@@ -26,6 +26,15 @@ def test_facts_join_before_they_aggregate(spark):
         assert "Aggregate" in above and below.count("Aggregate [") <= 1  # the distinct pairs of the bridge
 
 
+def test_shared_facts_are_the_same(spark):
+    plain, shared = model_tables(spark, SF), model_tables(spark, SF)
+    facts.share(shared)
+    for fact in (facts.sales_by_outlet, facts.daily_sales_by_outlet, facts.quality_by_outlet, facts.sales_by_product,
+                 facts.reviews_by_product, facts.transport_by_product):
+        assert "Join" not in _plan(fact(shared))
+        assert sorted(map(tuple, fact(shared).collect())) == sorted(map(tuple, fact(plain).collect()))
+
+
 def test_quality_status_skips_nulls(spark):
     t = {"outlet_menu": spark.createDataFrame([("m", "o", "p"), ("n", "q", "p")], "outlet_menu_id string, outlet_id string, product_id string"),
          "food_quality": spark.createDataFrame([("m", 1.0, None), ("m", 2.0, None), ("m", 3.0, "b"), ("m", None, "a"), ("n", 4.0, None)],
