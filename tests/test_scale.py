@@ -82,3 +82,17 @@ def test_opened_are_the_probes():
     own, loose = buckets.opened(vectors)
     for code in range(64):
         assert np.array_equal(((own ^ code) & ~loose) == 0, (buckets.probes(vectors) == code).any(axis=2))
+
+
+def test_rows_that_come_twice(spark):
+    """Rows of one q_id share its places; an id that stands twice in a cell takes one place."""
+    docs = spark.createDataFrame([(i, "s", i, v) for i, v in (("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0]))],
+                                 "id string, source string, pk string, embedding array<float>")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "q_id long, v array<float>")
+    got = sorted((r.q_id, r["rank"], r.id) for r in retrieval.hits_of(vectors, docs, 2).collect())
+    exact = retrieval.cosine_topk(vectors, docs.select("id", F.col("embedding").alias("v")), 2)
+    assert got == sorted((r.q_id, r["rank"], r.id) for r in exact.collect())
+    twice = docs.union(docs).union(docs).select("id", F.col("embedding").alias("v"))
+    buckets = approximate.Buckets(np.array([[[1.0, -0.5], [-0.5, 1.0]]]), 2)  # a, b and c lie in buckets of their own
+    near = approximate.approximate_topk(vectors.where("q_id = 2"), twice, buckets, 3)
+    assert sorted((r["rank"], r.id) for r in near.collect()) == [(1, "c"), (2, "b"), (3, "a")]
