@@ -35,6 +35,40 @@ def test_shared_facts_are_the_same(spark):
         assert sorted(map(tuple, fact(shared).collect())) == sorted(map(tuple, fact(plain).collect()))
 
 
+def test_grains_are_the_same(spark):
+    for key, fs in (("outlet_id", (facts.sales_by_outlet, facts.daily_sales_by_outlet, facts.quality_by_outlet, facts.reviews_by_outlet,
+                                   facts.transport_by_outlet)),
+                    ("product_id", (facts.sales_by_product, facts.reviews_by_product, facts.quality_by_product, facts.transport_by_product))):
+        plain, shared = model_tables(spark, SF), model_tables(spark, SF)
+        facts.share_grains(shared, key)
+        for fact in fs:
+            assert "Join" not in _plan(fact(shared))
+            assert sorted(map(str, fact(shared).collect())) == sorted(map(str, fact(plain).collect()))
+
+
+def test_no_fact_is_sorted_by_the_bridge_key(spark):
+    t = model_tables(spark, SF)
+    plan = facts.transport_by_outlet(t)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_grains_of_awkward_facts(spark):
+    bridge = spark.createDataFrame([("m", "o", "p"), ("m", "q", "p"), (None, "o", "p"), ("n", None, "r")],
+                                   "outlet_menu_id string, outlet_id string, product_id string")
+    def tables():
+        return {"outlet_menu": bridge,
+                "order": spark.createDataFrame([("m", None, 2.0, 3.0), ("m", "c", 1.0, 4.0), ("m", "c", 1.0, None), (None, "d", 9.0, 9.0),
+                                                ("n", "e", 1.0, 1.0)], "outlet_menu_id string, customer_id string, quantity double, unit_price double"),
+                "food_quality": spark.createDataFrame([("m", 1.0, None), ("m", 2.0, "b"), ("n", 4.0, "a")],
+                                                      "outlet_menu_id string, total_stage double, quality_status string")}
+    for key, fs in (("outlet_id", (facts.sales_by_outlet, facts.quality_by_outlet)), ("product_id", (facts.sales_by_product, facts.quality_by_product))):
+        shared = tables()
+        facts.share_grains(shared, key)
+        for fact in fs:
+            assert sorted(map(tuple, fact(shared).collect())) == sorted(map(tuple, fact(tables()).collect()))
+    assert sorted(map(tuple, facts.sales_by_outlet(tables()).collect())) == [("o", 4.0, 10.0, 1), ("q", 4.0, 10.0, 1)]
+
+
 def test_quality_status_skips_nulls(spark):
     t = {"outlet_menu": spark.createDataFrame([("m", "o", "p"), ("n", "q", "p")], "outlet_menu_id string, outlet_id string, product_id string"),
          "food_quality": spark.createDataFrame([("m", 1.0, None), ("m", 2.0, None), ("m", 3.0, "b"), ("m", None, "a"), ("n", 4.0, None)],
