@@ -130,3 +130,39 @@ def test_rows_that_come_twice(spark):
     buckets = approximate.Buckets(np.array([[[1.0, -0.5], [-0.5, 1.0]]]), 2)  # a, b and c lie in buckets of their own
     near = approximate.approximate_topk(vectors.where("q_id = 2"), twice, buckets, 3)
     assert sorted((r["rank"], r.id) for r in near.collect()) == [(1, "c"), (2, "b"), (3, "a")]
+
+
+def test_shared_totals_are_the_same(spark):
+    """One row a key for all facts, stored once: every fact still has the rows and values of its own join."""
+    outlets = (facts.sales_by_outlet, facts.daily_sales_by_outlet, facts.transport_by_outlet, facts.reviews_by_outlet, facts.quality_by_outlet)
+    products = (facts.sales_by_product, facts.outlets_by_product, facts.transport_by_product, facts.reviews_by_product, facts.quality_by_product)
+
+    def tables():
+        make = spark.createDataFrame
+        return {
+            "outlet_menu": make([("a", "o", "p"), ("b", "o", None), ("c", None, "r"), ("a", "q", "p"), (None, "s", "p"), ("d", "t", "u")],
+                                "outlet_menu_id string, outlet_id string, product_id string"),
+            "order": make([("a", "x", 1, 2.5), ("a", None, 2, None), ("b", "x", None, 1.0), ("c", "y", 3, 1.0), ("b", None, 1, 1.0), (None, "x", 1, 1.0)],
+                          "outlet_menu_id string, customer_id string, quantity int, unit_price double"),
+            "daily_sales": make([("a", 4), ("c", 1), ("z", 9)], "outlet_product_id string, sales int"),
+            "review": make([("a", 1, 0, 0), ("b", 0, None, 1)], "outlet_menu_id string, positive_score int, negative_score int, neutral_score int"),
+            "food_quality": make([("a", 3, "x"), ("a", None, None), ("c", 2, "y")], "outlet_menu_id string, total_stage int, quality_status string"),
+            "transportation": make([("c", 1.5), ("d", None)], "outlet_menu_id string, transportation_cost double")}
+
+    shared = tables()
+    facts.share(shared)
+    for key, fs in (("outlet_id", outlets), ("product_id", products)):
+        facts.share_grains(shared, key)
+        for fact in fs:
+            got = fact(shared)
+            assert facts._totals_of(key) in shared
+            want = fact(tables())
+            assert got.dtypes == want.dtypes
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    part = {k: v for k, v in tables().items() if k in ("outlet_menu", "review")}
+    facts.share(part)
+    facts.share_grains(part, "outlet_id")
+    assert facts.sales_by_outlet(part) is None and facts.transport_by_outlet(part) is None
+    assert sorted(r.outlet_id for r in facts.reviews_by_outlet(part).collect()) == ["o", "q"]
+    # of outlets and products only the (key, customer) pairs of the orders are shuffled beside what is stored
+    assert "sum(" not in _plan(facts.sales_by_outlet(shared))
