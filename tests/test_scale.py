@@ -1,8 +1,11 @@
 """Steps whose cost has to grow with the input only: facts read once, equal vectors scored once, blocks ranked in bounded memory."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from storeline import session
 from storeline.operators import approximate, facts, masters, retrieval
 from storeline.sources.fixtures import model_tables
 
@@ -166,3 +169,38 @@ def test_shared_totals_are_the_same(spark):
     assert sorted(r.outlet_id for r in facts.reviews_by_outlet(part).collect()) == ["o", "q"]
     # of outlets and products only the (key, customer) pairs of the orders are shuffled beside what is stored
     assert "sum(" not in _plan(facts.sales_by_outlet(shared))
+
+
+def _shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_shuffles_go_with_the_write(spark):
+    """What a stored table was shuffled through is deleted at its end, and the setting is as before."""
+    before, setting = _shuffle_files(spark), spark.conf.get(session.FREE_SHUFFLES, None)
+    rows = spark.range(1000).repartition("id").groupBy(F.col("id") % 7).count()
+    assert session.cut_lineage(rows).count() == 7 and session.cut_lineage(rows).count() == 7
+    left = {f for f in _shuffle_files(spark) - before if f.endswith(".data")}
+    for _ in range(50):  # deleted by a message to the executors; each count leaves one of a row
+        if len(left) <= 2:
+            break
+        time.sleep(0.1)
+        left = {f for f in _shuffle_files(spark) - before if f.endswith(".data")}
+    assert len(left) <= 2
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == setting
+
+
+def test_few_facts_meet_the_bridge_in_one_job(spark, monkeypatch):
+    """Never all facts at once: a job's shuffles lie on disk until its table is stored."""
+    plans = []
+    stored = facts.cut_lineage
+    monkeypatch.setattr(facts, "cut_lineage", lambda df, *a, **b: plans.append(_plan(df)) or stored(df, *a, **b))
+    names = ("transport", "positive_score", "stage", "sales", "unit_price")
+    for store in (facts.share, lambda t: facts.share_grains(t, "outlet_id"), lambda t: facts.share_grains(t, "product_id")):
+        plans.clear()
+        store(model_tables(spark, SF))
+        in_job = [[n for n in names if f"AS {n}#" in p] for p in plans]
+        assert sorted(n for job in in_job for n in job) == sorted(names) and max(map(len, in_job)) <= 2
+    # a pair of outlet and customer travels without the sums
+    assert "Expand" in plans[-1]
